@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing
+from . import exact_dedup, html_extract, line_dedup, mixing, simhash, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op2_simhash": simhash.op2_simhash,
+        "op3_url_filter": url_filter.op3_url_filter,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_mix": mixing.op6_mix,
+        "op7_html_text": html_extract.op7_html_text,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL}
+    return {"op5_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL, "op10_warc": warc.SQL}

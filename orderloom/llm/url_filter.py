@@ -1,0 +1,150 @@
+"""URL filters: host and path rules first, then a logistic regression on hashed character n-grams of host and path.
+
+The regression is fitted on the driver from a small labelled URL table, of which at most `max_labelled` rows (those with
+the smallest hashes) are read, whatever the corpus. Its weights, one number for each of `buckets` hash buckets, go to the
+tasks with the scoring function. Scoring works on whole Arrow batches; rules are one CASE expression.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import ascii_lower, table
+
+SIZES = (3, 4, 5)
+#: The rules of the query, host and path joined, and what they say.
+RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+#: A small hand-labelled URL table, 1 for block.
+LABELLED = [
+    ("https://grand-casino.example.com/en/10", 1), ("http://www.casino-club.example.net/en/4", 1), ("https://win-casino.example.org/fr/2.html", 1),
+    ("https://online-bets.example.com/de/77", 1), ("http://m.bets-now.example.net/en/3", 1), ("https://free-spins.example.com/en/12?ref=x", 1),
+    ("https://sport-bets.example.org/es/9", 1), ("http://www.pills-shop.example.com/en/55", 1), ("https://cheap-meds.example.net/fr/8/", 1),
+    ("https://blog.best-pills.example.org/en/31", 1), ("https://cheap-watches.example.com/en/6", 1), ("http://adult-videos.example.net/en/90", 1),
+    ("https://www.adult-chat.example.com/de/11#top", 1), ("https://xxx-adult.example.org/en/1", 1), ("https://spam-mail.example.com/en/42", 1),
+    ("http://m.link-farm.example.net/en/5", 1), ("https://farm-of-spam.example.org/fr/3", 1), ("https://ads-server.example.com/en/17", 1),
+    ("https://track-click.example.net/en/21?page=2", 1), ("http://www.ads-banner.example.org/en/70.html", 1), ("https://click-track.example.com/es/8", 1),
+    ("https://free-win.example.com/en/14", 1), ("https://win-money-fast.example.net/en/33", 1), ("http://poker-win.example.org/de/2", 1),
+    ("https://payday-loans.example.com/en/61", 1), ("https://cheap-casino-bonus.example.net/en/28", 1), ("http://free-pills.example.org/en/7", 1),
+    ("https://www.example.com/en/10", 0), ("https://blog.example.net/en/4", 0), ("https://theatre.example.org/fr/2.html", 0),
+    ("https://www.weather.example.com/de/77", 0), ("http://m.northern.example.net/en/3", 0), ("https://station.example.com/en/12?ref=x", 0),
+    ("https://nation.example.org/es/9", 0), ("http://www.theory.example.com/en/55", 0), ("https://authors.example.net/fr/8/", 0),
+    ("https://blog.mathematics.example.org/en/31", 0), ("https://thread.example.com/en/6", 0), ("http://another.example.net/en/90", 0),
+    ("https://www.rather.example.com/de/11#top", 0), ("https://either.example.org/en/1", 0), ("https://mention.example.com/en/42", 0),
+    ("http://m.therein.example.net/en/5", 0), ("https://healthnet.example.org/fr/3", 0), ("https://thunder.example.com/en/17", 0),
+    ("https://earthly.example.net/en/21?page=2", 0), ("http://www.mothering.example.org/en/70.html", 0), ("https://lathe.example.com/es/8", 0),
+    ("https://thin.example.com/en/14", 0), ("https://library.example.net/en/33", 0), ("http://museum.example.org/de/2", 0),
+    ("https://council.example.com/en/61", 0), ("https://gardens.example.net/en/28", 0), ("http://recipes.example.org/en/7", 0),
+    ("https://therehand.example.com/en/8214?utm_source=feed", 0), ("https://thesis.example.net/fr/5310/", 0), ("http://m.tithe.example.org/de/604#top", 0),
+    ("https://blog.thorn.example.com/en/3481.html", 0), ("https://theology.example.net/es/777?page=2&ref=x", 0), ("https://www.thistle.example.org/en/2903", 0),
+]
+
+
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """Host (A-Z lower-cased) and path; both empty for null and for what has no ://."""
+    part = lambda i: F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)", i), F.lit(""))
+    return ascii_lower(part(1)), part(2)
+
+
+def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """The longest rule that fits the host or a parent domain of it and the start of the path; else null."""
+    found = F.lit(None).cast("string")
+    for rule, _ in sorted(rules, key=lambda r: (len(r[0]), r[0])):
+        name, _, start = rule.partition("/")
+        fits = ((host == name) | F.endswith(host, F.lit(f".{name}"))) & F.startswith(path, F.lit(f"/{start}"))
+        found = F.when(fits, F.lit(rule)).otherwise(found)
+    return found
+
+
+def ngram_buckets(texts: Sequence[bytes], buckets: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of every n-gram of n in SIZES; of ^text$, so that the ends count too. An n-gram is its bytes as one integer, mixed."""
+    framed = [b"^" + t + b"$" for t in texts]
+    data = np.frombuffer(b"".join(framed), np.uint8).astype(np.uint64)
+    lengths = np.fromiter(map(len, framed), np.int64, len(framed))
+    row = np.repeat(np.arange(len(framed)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(data))
+    rows, found = [], []
+    for n in SIZES:
+        code = np.full(len(data), np.uint64(n * 1_000_003 + salt))
+        for k in range(n):
+            code = code * np.uint64(257) + np.concatenate([data[k:], np.zeros(k, np.uint64)])
+        code = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        whole = left >= n
+        rows.append(row[whole])
+        found.append((code[whole] >> np.uint64(32)) % np.uint64(buckets))
+    return np.concatenate(rows), np.concatenate(found).astype(np.int64)
+
+
+def _features(hosts: Sequence[bytes], paths: Sequence[bytes], buckets: int):
+    a, b = ngram_buckets(hosts, buckets, 1), ngram_buckets(paths, buckets, 2)
+    row, bucket = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    return row, bucket, 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(hosts)), 1))
+
+
+def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "label", max_labelled: int = 20_000, buckets: int = 1 << 14,
+        rounds: int = 400, rate: float = 4.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias from a labelled table. Rows with a null label don't count; at most max_labelled rows are read.
+
+    An empty table gives weights of zero and a bias of zero, and so a probability of one half.
+    """
+    host, path = host_and_path(F.col(url_col))
+    rows = labelled.where(F.col(label_col).isNotNull()).select(host.alias("host"), path.alias("path"), F.col(label_col).cast("double").alias("y"))
+    rows = rows.orderBy(F.xxhash64("host", "path"), "host", "path", "y").limit(max_labelled).collect()
+    weights, bias = np.zeros(buckets), 0.0
+    if not rows:
+        return weights, bias
+    y = np.array([r.y for r in rows])
+    row, bucket, scale = _features([r.host.encode() for r in rows], [r.path.encode() for r in rows], buckets)
+    for _ in range(rounds):
+        z = bias + scale * np.bincount(row, weights[bucket], len(y))
+        off = 1 / (1 + np.exp(-z)) - y
+        weights -= rate * (np.bincount(bucket, (off * scale)[row], buckets) / len(y) + l2 * weights)
+        bias -= rate * off.mean() / 10
+    return weights, float(bias)
+
+
+def probability(host: Column, path: Column, model: tuple[np.ndarray, float]) -> Column:
+    """The probability that a URL is to be blocked."""
+    from pyspark.sql.functions import arrow_udf
+
+    weights, bias = model
+
+    @arrow_udf("double")
+    def score(hosts: pa.Array, paths: pa.Array) -> pa.Array:
+        h, p = (x.cast(pa.binary()).to_pylist() for x in (hosts, paths))
+        if not h:
+            return pa.array([], pa.float64())
+        row, bucket, scale = _features(h, p, len(weights))
+        return pa.array(1 / (1 + np.exp(-(bias + scale * np.bincount(row, weights[bucket], len(h))))))
+
+    return score(host, path)
+
+
+def judge_urls(pages: DataFrame, model: tuple[np.ndarray, float], rules: Sequence[tuple[str, str]] = RULES, url_col: str = "url", threshold: float = 0.5) -> DataFrame:
+    """pages with host, path, rule, block_probability and verdict added.
+
+    Null and empty URLs and those without :// have an empty host and path; no rule fits them, and the regression judges
+    them by the ends of two empty texts. Columns of pages that bear one of the five names give way to the new ones.
+    Repeated rows are judged each; an empty table gives an empty result; URLs of any length are read whole.
+    """
+    host, path = host_and_path(F.col(url_col))
+    made = ("host", "path", "rule", "block_probability", "verdict")
+    kept = [F.col(c) for c in pages.columns if c not in made]
+    rows = pages.select(*kept, F.struct(host.alias("host"), path.alias("path")).alias("__at"))
+    h, p = F.col("__at.host"), F.col("__at.path")
+    rows = rows.withColumn("__rule", rule_for(h, p, rules)).withColumn("__p", probability(h, p, model))
+    says = F.lit(None)
+    for rule, verdict in rules:
+        says = F.when(F.col("__rule") == rule, F.lit(verdict)).otherwise(says)
+    by_model = F.when(F.col("__p") > threshold, "block").otherwise("allow")
+    return rows.select(*kept, h.alias("host"), p.alias("path"), F.col("__rule").alias("rule"), F.col("__p").alias("block_probability"), F.coalesce(says, by_model).alias("verdict"))
+
+
+def op3_url_filter(spark, sf_dir):
+    model = fit(spark.createDataFrame(LABELLED, "url string, label int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, model).select("page_id", "host", "path", "rule", "verdict", "block_probability")
