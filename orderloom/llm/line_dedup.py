@@ -96,6 +96,11 @@ def op8_line_dedup(spark, sf_dir):
     return line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the lines that ten documents or more have; n_chars follows the text."""
+    return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

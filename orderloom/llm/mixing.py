@@ -121,3 +121,8 @@ def schedule(sources: DataFrame, block_words: int, least_slots: int, cells: int
 def op6_mix(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document: doc_id, source, size, source_size, target, taken."""
+    return mix(docs.select("doc_id", "text", "source"))

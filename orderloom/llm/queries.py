@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, line_dedup, mixing, simhash, url_filter, warc
+from . import decontam, exact_dedup, html_extract, line_dedup, mixing, quality, simhash, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op2_simhash": simhash.op2_simhash,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_decontamination": decontam.op4_decontamination,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_mix": mixing.op6_mix,
         "op7_html_text": html_extract.op7_html_text,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_quality": quality.op9_quality,
         "op10_warc": warc.op10_warc,
     }
 
