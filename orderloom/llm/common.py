@@ -47,12 +47,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = (), compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage ends here, and lost executors cost nothing before it."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     with freeing_shuffles(spark):
-        df.write.partitionBy(*partition_by).parquet(path)
+        df.write.partitionBy(*partition_by).parquet(path, compression=compression)
     read = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     read._orderloom_path = path
     return read

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, html_extract, line_dedup, mixing, quality, simhash, url_filter, warc
+from . import decontam, exact_dedup, html_extract, katz, line_dedup, mixing, quality, simhash, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_katz": katz.op1_katz,
         "op2_simhash": simhash.op2_simhash,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_decontamination": decontam.op4_decontamination,
