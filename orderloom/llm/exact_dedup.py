@@ -21,9 +21,9 @@ def normalised(col):
 
 
 def _names(values: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and name, for those keys that occur more than once: an integer that follows the order of the keys."""
+    """keys and name, for those keys that occur more than once: an integer that follows the order of the keys in each partition."""
     often = values.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-    return materialize(often.orderBy(*keys).withColumn("name", F.monotonically_increasing_id()), "names")
+    return materialize(often.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), "names")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4096) -> DataFrame:
