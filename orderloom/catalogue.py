@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from .plans import compare, history
 
 FLAGSHIP = "client_article_profile"
-
-
-def client_article_profile(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.join(o, li.l_orderkey == o.o_orderkey).groupBy("o_custkey", "l_partkey").agg(
-        F.count("*").alias("n_lines"), F.countDistinct("l_orderkey").alias("n_orders"), F.max("o_orderdate").alias("last_date")
-    )
+MODULES = (history, compare)
 
 
 def queries() -> dict:
-    return {"client_article_profile": client_article_profile}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "client_article_profile": """
-        SELECT o_custkey, l_partkey, count(*) AS n_lines, count(DISTINCT l_orderkey) AS n_orders, max(o_orderdate) AS last_date
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey"""
-    }
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
