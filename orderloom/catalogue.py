@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import compare, history
+from .plans import compare, event_time, history, queues, texts
 
 FLAGSHIP = "client_article_profile"
-MODULES = (history, compare)
+MODULES = (history, compare, texts, queues, event_time)
 
 
 def queries() -> dict:
