@@ -144,6 +144,12 @@ def _cut(values: np.ndarray, fine: np.ndarray, cost: float = 3.0) -> float:
     return float((v[i - 1] + v[i]) / 2) if i < len(v) else np.inf
 
 
+def _bin(key: Column) -> Column:
+    """Bins of falling keys: even ones down to -20, about where drawn documents end, and below that ever wider ones."""
+    below = F.floor(F.log1p(F.greatest(-key - 20, F.lit(0.0))) * 2000)
+    return F.floor(-F.greatest(F.lit(-20.0), F.least(F.lit(40.0), key)) * 2000) + below
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, temperature: float = 0.02, seed: int = 9) -> DataFrame:
     """One row per row of docs: id, quality_weight, safety_weight (log importance weights), sample_key, kept.
 
@@ -164,7 +170,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "text_hash"), 11).cast("double") + 0.5) / float(1 << 53)
     key = (at_most("q", q_cut) + at_most("t", t_cut)) / temperature - F.log(-F.log(uniform))
     keyed = scored.withColumn("key", key).withColumn("above", ((at_most("q", q_cut) == 0) & (at_most("t", t_cut) == 0)).cast("long"))
-    keyed = keyed.withColumn("bin", F.floor(-F.greatest(F.lit(-20.0), F.least(F.lit(40.0), F.col("key"))) * 2000)).withColumn("one", F.lit(1).cast("long")).withColumn("falling", -F.col("key"))
+    keyed = keyed.withColumn("bin", _bin(F.col("key"))).withColumn("one", F.lit(1).cast("long")).withColumn("falling", -F.col("key"))
     k = keyed.agg(F.sum("above")).first()[0] or 0
     ranked = prefix_sum(keyed, [], "bin", ["falling", "id", "text_hash"], "one", "rank")
     return ranked.select(F.col("id").alias(id_col), F.col("q").alias("quality_weight"), F.col("t").alias("safety_weight"), F.col("key").alias("sample_key"), (F.col("rank") < k).alias("kept"))
