@@ -34,23 +34,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not read. An empty table gives an empty result. Texts of any length are cut linearly.
     """
     norm = normalised(F.col(text_col))
-    parts = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).select(
-        "id", F.sha2("norm", 256).alias("sha"), F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), 0).alias("parts")
-    )
-    parts = parts.select("id", "sha", F.when(F.size("parts") == 0, F.array(F.lit(""))).otherwise(F.col("parts")).alias("parts"))
-    blocks = parts.select("id", "sha", F.size("parts").alias("n_blocks"), F.posexplode("parts").alias("pos", "block"))
+    parts = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("row", F.monotonically_increasing_id())
+    parts = parts.select("row", "id", F.sha2("norm", 256).alias("sha"), F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), 0).alias("parts"))
+    parts = parts.select("row", "id", "sha", F.when(F.size("parts") == 0, F.array(F.lit(""))).otherwise(F.col("parts")).alias("parts"))
+    blocks = parts.select("row", "id", "sha", F.size("parts").alias("n_blocks"), F.posexplode("parts").alias("pos", "block"))
+    at_first = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)
+    blocks = blocks.select("row", at_first("id"), at_first("sha"), "n_blocks", "pos", "block")
 
     names = _names(blocks, ["block"])
-    named = materialize(blocks.join(names, "block", "left").select("id", "sha", "n_blocks", "pos", "name"), "named-blocks")
+    named = materialize(blocks.join(names, "block", "left").select("row", "id", "sha", "n_blocks", "pos", "name"), "named-blocks")
     discard(names)
 
-    single = named.where("n_blocks = 1").select("id", "sha", F.lit(0).alias("depth"), "name")
-    many = named.where("n_blocks > 1")
-    many_rows = many.where("pos = 0").select("id", "sha")
-    many = _all_named(many)
+    heads = named.where("pos = 0")
+    single = heads.where("n_blocks = 1").select("id", "sha", F.lit(0).alias("depth"), "name")
+    many = _all_named(named.where("n_blocks > 1").select("row", "pos", "name"))
     longest = many.agg(F.max("pos")).first()[0] or 0
     for _ in range(longest.bit_length()):
-        pairs = many.groupBy("id", "sha", F.expr("pos div 2").alias("pos")).agg(
+        pairs = many.groupBy("row", F.expr("pos div 2").alias("pos")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"),
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"),
         )
@@ -59,8 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         after = materialize(_all_named(pairs.join(names, ["left", "right"], "left")), "named-pairs")
         discard(names, pairs, many)
         many = after
-    whole = many.select(F.col("id").alias("of_id"), F.col("sha").alias("of_sha"), F.lit(1).alias("depth"), "name")
-    whole = many_rows.join(whole, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("sha") == F.col("of_sha")), "left")
+    whole = heads.where("n_blocks > 1").select("row", "id", "sha").join(many.select("row", "name"), "row", "left")
 
     rows = single.unionByName(whole.select("id", "sha", F.lit(1).alias("depth"), "name"))
     shared = rows.where("name is not null")
@@ -74,9 +73,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _all_named(parts: DataFrame) -> DataFrame:
     """Only the parts of those texts of which every part has a name."""
-    lacking = parts.where("name is null").select(F.col("id").alias("l_id"), F.col("sha").alias("l_sha")).distinct()
-    same = F.col("id").eqNullSafe(F.col("l_id")) & (F.col("sha") == F.col("l_sha"))
-    return parts.join(lacking, same, "left_anti").select("id", "sha", "pos", "name")
+    lacking = parts.where("name is null").select("row").distinct()
+    return parts.join(lacking, "row", "left_anti").select("row", "pos", "name")
 
 
 def op5_exact_dedup(spark, sf_dir):
