@@ -44,3 +44,38 @@ def windowed_counts(stream: DataFrame, at: str, width: str, late: str, keys: lis
     """Counts by event-time window and key; rows later than `late` behind the newest are left out once their window has closed."""
     timed = stream.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", late)
     return timed.groupBy(F.window("__at", width).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+
+
+def run_cycle(spark: SparkSession, source: DataFrame, state_path: str, checkpoint: str, process, key: str) -> DataFrame:
+    """A cycle of new items and those that failed before: process(df) adds `ok`, and the outcome of each item is kept.
+
+    Every micro-batch takes the stream's new rows and the failed ones of the state before it, and writes a whole new state
+    under its own number, so that a batch that runs twice leaves one outcome. Returns the last state: the item's columns, ok, attempts.
+    """
+    columns = source.columns
+
+    def before(number: int) -> DataFrame | None:
+        jvm = spark._jvm.org.apache.hadoop.fs
+        for n in range(number - 1, -1, -1):
+            p = jvm.Path(f"{state_path}/{n}/_SUCCESS")
+            if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+                return spark.read.parquet(f"{state_path}/{n}")
+        return None
+
+    done: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        fresh = batch.withColumn("attempts", F.lit(0))
+        state = before(number)
+        todo, rest = fresh, None
+        if state is not None:
+            again = state.where("not ok").join(fresh, key, "left_anti")
+            todo = fresh.unionByName(again.select(*columns, "attempts"))
+            rest = state.where("ok").join(fresh, key, "left_anti")
+        out = process(todo).withColumn("attempts", F.col("attempts") + 1).select(*columns, "ok", "attempts")
+        (out if rest is None else rest.unionByName(out)).write.mode("overwrite").parquet(f"{state_path}/{number}")
+        done.append(number)
+
+    source.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    last = before((max(done) if done else 10_000) + 1)
+    return last if last is not None else spark.createDataFrame([], source.schema).withColumn("ok", F.lit(True)).withColumn("attempts", F.lit(0))
