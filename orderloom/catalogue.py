@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import compare, event_time, history, messages, queues, texts
+from .plans import compare, event_time, history, messages, queues, records, texts
 
 FLAGSHIP = "client_article_profile"
-MODULES = (history, compare, texts, queues, messages, event_time)
+MODULES = (history, compare, texts, queues, messages, event_time, records)
 
 
 def queries() -> dict:
