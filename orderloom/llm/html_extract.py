@@ -31,6 +31,8 @@ MARKS = set(
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget related recommended recommendations trending footer header masthead toolbar topbar social share sharing comment comments disqus respond reply replies "
     "complementary contentinfo search".split()
 )
+#: Words by which a class says what its element goes with, not what it is.
+ABOUT = {"with", "without", "has", "no"}
 #: End tags that a start tag implies.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {b: {"p"} for b in BLOCK - {"body", "html", "li", "dt", "dd", "tr", "td", "th"}}
 SCOPE = set("article aside body div section main table ul ol dl td th blockquote nav header footer form".split())
@@ -38,7 +40,8 @@ SCOPE = set("article aside body div section main table ul ol dl td th blockquote
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I
 )
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -56,14 +59,18 @@ def _marked(tag: str, attributes: str) -> bool:
     """Whether an element is one of those that are never content."""
     if tag in NEVER:
         return True
-    if not attributes or tag in ("body", "html", "article", "main"):
+    if not attributes or tag in ("body", "html"):
         return False
+    whole = tag in ("article", "main")  # those only by a name that is a mark and nothing else
     for name, *values in _ATTR.findall(attributes):
         value, name = "".join(values), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id", "role") and any(w.lower() in MARKS for w in _WORD.findall(value)):
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return True
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                words = {token.lower()} if whole else {w.lower() for w in _WORD.findall(token)}
+                if words & MARKS and not words & ABOUT:
+                    return True
     return False
 
 

@@ -25,6 +25,7 @@ CLEAN = "Title & more\nFirst paragraph with a link in it, and a good many words
         f"<html><body><nav><a href='/'>Home</a></nav><article>{BODY}</article><footer>foot</footer></body></html>",
         f"<body><div id='menu'><a>a</a><a>b</a></div><div class='content'>{BODY}</div><div class='reader-comments'><p>{'Nice article! ' * 60}</p></div><aside>{'side ' * 50}</aside>",
         f"<div class='cookie-notice'>We use cookies</div><main>{BODY}<form><input name=q><label>Mail</label></form><div class=\"ad\">Buy now</div></main><script>var a='</p><p>';</script>",
+        f"<body class='has-sidebar'><div class='content-with-sidebar no-ads'><article class='post has-comments'>{BODY}<div style='display: none'>hidden</div></article><article class='comment'><p>{'I agree. ' * 90}</p></article></div>",
         f"<BODY><HEADER><p>site</p></HEADER><ARTICLE>{BODY}<!-- <p>hidden</p> --><style>p{{}}</style></ARTICLE>",
     ],
 )
