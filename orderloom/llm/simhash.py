@@ -11,6 +11,7 @@ than one component are compared further: small ones by a join, large ones as pai
 give back no more links than they have nodes. No bucket is capped, and no link between components is lost.
 """
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -25,11 +26,17 @@ from .words import majority, shingle_hashes, signed, texts_of, words_of
 SMALL_BUCKET, BLOCK = 16, 1024
 
 
+@functools.cache
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
-    """One mask for each nonzero vector of radius + 1 bits."""
+    """One mask for each nonzero vector of radius + 1 bits. Which vectors the bits get is a matter of the stride: that one
+    whose emptiest mask keeps most bits, as a mask of few bits would put everything into a few buckets."""
     vectors = (1 << radius + 1) - 1
-    phi = [1 + i % vectors for i in range(bits)]
-    return [sum(1 << i for i in range(bits) if (phi[i] & v).bit_count() % 2) for v in range(1, vectors + 1)]
+
+    def masks(stride: int) -> list[int]:
+        phi = [1 + i * stride % vectors for i in range(bits)]
+        return [sum(1 << i for i in range(bits) if (phi[i] & v).bit_count() % 2) for v in range(1, vectors + 1)]
+
+    return max(map(masks, range(1, vectors + 1)), key=lambda m: min(x.bit_count() for x in m))
 
 
 def signatures(shingle_words: int) -> Callable:
