@@ -150,30 +150,47 @@ def _bin(key: Column) -> Column:
     return F.floor(-F.greatest(F.lit(-20.0), F.least(F.lit(40.0), key)) * 2000) + below
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, temperature: float = 0.02, seed: int = 9) -> DataFrame:
-    """One row per row of docs: id, quality_weight, safety_weight (log importance weights), sample_key, kept.
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, max_labelled: int = 20_000, temperature: float = 0.02, seed: int = 9) -> DataFrame:
+    """The columns `keep` of docs with __q, __t (log importance weights), __key and __kept; written once, texts are not shuffled.
 
-    Empty and null texts have no features, so weights of 0. Rows that repeat an id are judged each. A null id is drawn as
-    any other. Without labels of both kinds for a pair that pair rejects nothing. An empty table gives an empty result.
+    The draw's last key is found from keys and ids alone, and rows are held against it where they stand.
     """
     ratios, sample = fit(docs, labels, id_col, text_col, max_labelled)
-    scored = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), scores(F.col(text_col), ratios).alias("s"))
-    pick = lambda at, kind: F.when(F.col(kind).isNull(), F.col("s")[at]).when(F.col(kind) == 1, F.col("s")[at + 1]).otherwise(F.col("s")[at + 2])
-    scored = scored.join(F.broadcast(sample), "id", "left")
-    scored = materialize(scored.select("id", "text_hash", "good", "harmless", pick(0, "good").alias("q"), pick(3, "harmless").alias("t")), "weights")
-
-    known = scored.where("good is not null").orderBy("id").limit(2 * max_labelled).toArrow()
-    good, harmless = (known[c].to_numpy() == 1 for c in ("good", "harmless"))
-    q_cut = _cut(known["q"].to_numpy(), good) if len(known) else -np.inf
-    t_cut = _cut(known["t"].to_numpy(), harmless) if len(known) else -np.inf
+    keep = keep or [id_col]
+    mine = sample.select(F.col("id").alias("__of"), F.col("good").alias("__good"), F.col("harmless").alias("__harmless"))
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__text_hash")
+    scored = docs.select(*keep, F.col(id_col).alias("__id"), text_hash, scores(F.col(text_col), ratios).alias("__s")).join(F.broadcast(mine), F.col("__id") == F.col("__of"), "left")
+    pick = lambda at, kind: F.when(F.col(kind).isNull(), F.col("__s")[at]).when(F.col(kind) == 1, F.col("__s")[at + 1]).otherwise(F.col("__s")[at + 2])
+    scored = materialize(scored.select(*keep, "__id", "__text_hash", "__good", "__harmless", pick(0, "__good").alias("__q"), pick(3, "__harmless").alias("__t")), "weights")
+
+    known = scored.where("__good is not null").select("__good", "__harmless", "__q", "__t").orderBy("__q", "__t").limit(2 * max_labelled).toArrow()
+    good, harmless = (known[c].to_numpy() == 1 for c in ("__good", "__harmless"))
+    q_cut = _cut(known["__q"].to_numpy(), good) if len(known) else -np.inf
+    t_cut = _cut(known["__t"].to_numpy(), harmless) if len(known) else -np.inf
     at_most = lambda c, cut: F.least(F.col(c) - F.lit(cut), F.lit(0.0)) if np.isfinite(cut) else F.lit(0.0 if cut < 0 else -1e9)
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "text_hash"), 11).cast("double") + 0.5) / float(1 << 53)
-    key = (at_most("q", q_cut) + at_most("t", t_cut)) / temperature - F.log(-F.log(uniform))
-    keyed = scored.withColumn("key", key).withColumn("above", ((at_most("q", q_cut) == 0) & (at_most("t", t_cut) == 0)).cast("long"))
-    keyed = keyed.withColumn("bin", _bin(F.col("key"))).withColumn("one", F.lit(1).cast("long")).withColumn("falling", -F.col("key"))
-    k = keyed.agg(F.sum("above")).first()[0] or 0
-    ranked = prefix_sum(keyed, [], "bin", ["falling", "id", "text_hash"], "one", "rank")
-    return ranked.select(F.col("id").alias(id_col), F.col("q").alias("quality_weight"), F.col("t").alias("safety_weight"), F.col("key").alias("sample_key"), (F.col("rank") < k).alias("kept"))
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__id", "__text_hash"), 11).cast("double") + 0.5) / float(1 << 53)
+    key = (at_most("__q", q_cut) + at_most("__t", t_cut)) / temperature - F.log(-F.log(uniform))
+    scored = scored.withColumn("__key", key)
+    above = F.count_if((at_most("__q", q_cut) == 0) & (at_most("__t", t_cut) == 0))
+    place = F.struct((-F.col("__key")).alias("falling"), F.col("__id").alias("id"), F.col("__text_hash").alias("text_hash"))
+    k = scored.agg(above).first()[0]
+    keyed = scored.select(place.alias("place"), _bin(F.col("__key")).alias("bin"), F.lit(1).cast("long").alias("one"))
+    last = prefix_sum(keyed, [], "bin", ["place"], "one", "rank").where(F.col("rank") == k - 1).select("place").first() if k else None
+    if last is None:
+        return scored.withColumn("__kept", F.lit(False))
+    edge = F.struct(F.lit(last.place.falling).alias("falling"), F.lit(last.place.id).cast(scored.schema["__id"].dataType).alias("id"), F.lit(last.place.text_hash).alias("text_hash"))
+    return scored.withColumn("__kept", place <= edge)
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per row of docs: id, quality_weight, safety_weight (log importance weights), sample_key, kept.
+
+    Empty and null texts have no features, so weights of 0. Rows that repeat an id are judged each, and rows that are the
+    same are drawn or left together. A null id is drawn as any other. Without labels of both kinds for a pair that pair
+    rejects nothing. An empty table gives an empty result.
+    """
+    rows = judged(docs, labels, id_col, **options)
+    return rows.select(id_col, F.col("__q").alias("quality_weight"), F.col("__t").alias("safety_weight"), F.col("__key").alias("sample_key"), F.col("__kept").alias("kept"))
 
 
 def op9_quality(spark, sf_dir):
@@ -181,7 +198,5 @@ def op9_quality(spark, sf_dir):
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that classify() keeps. Of rows that repeat an id all stay if one does."""
-    judged = classify(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    kept = materialize(judged.where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    """The documents that are drawn, with their columns."""
+    return judged(docs, table(spark, sf_dir, "labels"), keep=docs.columns).where("__kept").select(*docs.columns)
