@@ -81,7 +81,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("size") - 1) / block))))
         .withColumn("words", F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block))
     )
-    took = pieces.join(scheduled, ["place", "block"]).groupBy("place", "start").agg(F.sum("words").alias("taken"))
+    took = pieces.join(scheduled.hint("merge"), ["place", "block"]).groupBy("place", "start").agg(F.sum("words").alias("taken"))
     some = laid.where("size > 0").join(took, ["place", "start"], "left")
     none = laid.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     columns = [F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
