@@ -128,6 +128,17 @@ def _sized(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(blob) // n] if n else np.uint8).astype(np.int64)
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the gaps between them, the first byte of each, then the second of each and so on: the high bytes are zeros and compress."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    gaps = np.frombuffer(blob, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
 _ASKED = "m int, bucket int, batch long, keys binary, counts binary"
 _ANSWERED = "bucket int, batch long, keys binary, counts binary, own binary, stats array<long>, kind string, m int"
 
@@ -140,7 +151,7 @@ def _ask_counts(order: int, buckets: int):
                 for m in range(1, order + 1):
                     counts, edges = grams.counts(m), _edges(grams.keys[m], buckets)
                     some = [i for i in range(buckets) if edges[i] < edges[i + 1]]
-                    keys = [grams.keys[m][edges[i] : edges[i + 1]].tobytes() for i in some]
+                    keys = [packed(grams.keys[m][edges[i] : edges[i + 1]]) for i in some]
                     n = [_small(counts[edges[i] : edges[i + 1]]) for i in some]
                     columns = [pa.array([m] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["m", "bucket", "batch", "keys", "counts"])
@@ -155,7 +166,7 @@ def _add_counts(discount_upto: int):
         m, bucket = asked["m"][0].as_py(), asked["bucket"][0].as_py()
         asked = asked.sort_by("batch")
         batch = asked["batch"].to_pylist()
-        keys = [np.frombuffer(k.as_py(), np.uint64) for k in asked["keys"]]
+        keys = [unpacked(k.as_py()) for k in asked["keys"]]
         counts = [_sized(c.as_py(), len(k)) for c, k in zip(asked["counts"], keys, strict=True)]
         every, local = np.concatenate(keys), np.concatenate(counts)
         distinct, at = np.unique(every, return_inverse=True)
@@ -169,7 +180,7 @@ def _add_counts(discount_upto: int):
         low = np.bincount(np.minimum(total[seen], discount_upto + 2), minlength=discount_upto + 3)
         stats = [int(total[seen].sum()), int(seen.sum()), *map(int, low[1 : discount_upto + 2])]
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        rows = [(bucket, None, distinct[total > 0].tobytes(), _small(total[total > 0]), None, stats, "table", m)]
+        rows = [(bucket, None, packed(distinct[total > 0]), _small(total[total > 0]), None, stats, "table", m)]
         for b, t, o in zip(batch, np.split(total[at], cuts), np.split(own, cuts), strict=True):
             rows.append((bucket, b, None, _small(t), np.packbits(o).tobytes(), None, "answer", m))
         kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.string(), pa.int32()]
@@ -293,7 +304,7 @@ def _ask_sums(level: int, buckets: int, model: Model):
         for i in range(buckets):
             a, b = edges[i], edges[i + 1]
             if a < b:
-                rows.append((level, i, left["batch"][0].as_py(), keys[a:b].tobytes(), count[a:b].tobytes(), np.concatenate([mass[a:b], lower[a:b]]).tobytes()))
+                rows.append((level, i, left["batch"][0].as_py(), packed(keys[a:b]), _small(count[a:b]), np.concatenate([mass[a:b], lower[a:b]]).tobytes()))
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["m", "bucket", "batch", "keys", "counts", "own"])
 
@@ -306,8 +317,8 @@ def _add_sums():
     def add(asked: pa.Table) -> pa.Table:
         m, bucket = asked["m"][0].as_py(), asked["bucket"][0].as_py()
         asked = asked.sort_by("batch")
-        keys = [np.frombuffer(k.as_py(), np.uint64) for k in asked["keys"]]
-        count = np.concatenate([np.frombuffer(c.as_py(), np.int64) for c in asked["counts"]])
+        keys = [unpacked(k.as_py()) for k in asked["keys"]]
+        count = np.concatenate([_sized(c.as_py(), len(k)) for c, k in zip(asked["counts"], keys, strict=True)])
         sums = np.concatenate([np.frombuffer(s.as_py(), np.float64).reshape(2, -1) for s in asked["own"]], axis=1)
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         mass, lower = (np.bincount(at, s, len(distinct)) for s in sums)
@@ -332,7 +343,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     """Scores of all texts by a model of those rows for which train holds, and the model's count tables.
 
     Scores: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability), one row per row of docs.
-    Counts, partitioned by order: m, bucket, keys (uint64, sorted) and counts (unsigned) as bytes, one row a bucket.
+    Counts, partitioned by order: m, bucket, keys (see packed) and counts (unsigned) as bytes, one row a bucket.
     Null texts are empty: one end token. A null train counts as true. Rows that repeat are scored and, if they train,
     counted each. Without training text every token is unknown and certain: scores of 0. An empty table gives an empty result.
     """
