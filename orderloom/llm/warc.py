@@ -44,7 +44,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     staged = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     staged = staged.withColumn("uid", F.monotonically_increasing_id())
     digest = F.concat_ws(":", F.sha2("payload", 256), F.sha1("payload"), F.octet_length("payload"))
-    staged = materialize(staged.select("uid", "id", "url", digest.alias("digest"), F.octet_length("payload").cast("long").alias("n"), "payload"), "staged")
+    staged = materialize(staged.select("uid", "id", "url", digest.alias("digest"), F.octet_length("payload").cast("long").alias("n"), "payload"), "staged", compression="zstd")
 
     first = F.min(F.struct(F.isnull("id").alias("no_id"), "id", "uid"))
     firsts = staged.where(F.col("n") >= min_bytes).groupBy("digest").agg(first.alias("first")).select("digest", F.col("first.uid").alias("first_uid"), F.col("first.id").alias("first_id"))
@@ -77,7 +77,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     if min_bytes > 0:
         short = staged.where(F.col("n") < min_bytes).groupBy("digest").agg(F.first("payload").alias("payload"))
         stored = stored.unionByName(short)
-    payloads = materialize(stored, "warc-payloads")
+    payloads = materialize(stored, "warc-payloads", compression="zstd")
     discard(staged, firsts)
     return records, payloads
 
