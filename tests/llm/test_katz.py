@@ -101,3 +101,11 @@ def test_edges_and_nothing(spark, edges, nothing):
     assert {r.n_tokens for r in scored if r.doc_id in (1, 2, 8)} == {1}
     assert all(r.score == 0 for r in katz.score_texts(edges, F.lit(False))[0].collect())
     assert katz.score_texts(nothing, F.lit(True))[0].count() == 0
+
+
+def test_keys_survive_packing():
+    import numpy as np
+
+    for keys in ([], [5], [0, 1, 2**64 - 1], sorted(hash(str(i)) % 2**64 for i in range(1000))):
+        array = np.array(keys, np.uint64)
+        assert katz.unpacked(katz.packed(array)).tolist() == array.tolist()

@@ -83,3 +83,10 @@ def test_stage_keeps_one_of_near_copies(spark, sf):
         rows += [(10 * i + 1, text), (10 * i + 2, text), (10 * i + 3, " ".join(words[:150] + ["changed"] + words[151:]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.simhash_stage(spark, docs, sf).collect()) == [1, 11, 21, 31, 41]
+
+
+def test_masks_keep_about_half_of_the_bits():
+    for radius in range(1, 7):
+        kept = [m.bit_count() for m in simhash.covering_masks(radius)]
+        assert len(kept) == 2 ** (radius + 1) - 1
+        assert min(kept) >= 30
