@@ -55,3 +55,19 @@ def bare_code(code: Column) -> Column:
 def hash_bucket(text: Column, buckets: int = 100) -> Column:
     """A bucket from the first 32 bits of SHA-256, the same on every run."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long") % buckets
+
+
+def measures(label: Column) -> Column:
+    """Sizes in a label as structs of value and dimension: grams for weights, millilitres for volumes."""
+    found = F.regexp_extract_all(F.lower(label), F.lit(r"\b([0-9]+(?:[.,][0-9]+)? ?(?:kg|g|l|cl|ml))\b"), 0)
+    value = lambda m: F.replace(F.regexp_extract(m, r"^[0-9.,]+", 0), F.lit(","), F.lit(".")).try_cast("double")
+    unit_of = lambda m: F.regexp_extract(m, r"[a-z]+$", 0)
+    factor = lambda u: F.when(u == "kg", 1000.0).when(u == "l", 1000.0).when(u == "cl", 10.0).otherwise(1.0)
+    return F.transform(found, lambda m: F.struct((value(m) * factor(unit_of(m))).alias("value"), F.when(unit_of(m).isin("kg", "g"), "weight").otherwise("volume").alias("dimension")))
+
+
+def physical_fit(said: Column, label: Column) -> Column:
+    """How well a said measure fits those of a label: 12 within a twentieth, else the less the further; -12 if none has its dimension, 0 if there are none."""
+    same = F.filter(label, lambda m: m["dimension"] == said["dimension"])
+    gap = F.array_min(F.transform(same, lambda m: F.abs(m["value"] - said["value"]) / F.greatest(said["value"], F.lit(1e-9))))
+    return F.when(F.size(label) == 0, 0.0).when(F.size(same) == 0, -12.0).when(gap <= 0.05, 12.0).otherwise(-F.least(F.lit(12.0), 4 + 10 * gap))

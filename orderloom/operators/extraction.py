@@ -48,6 +48,17 @@ def digits_for_words(text: Column) -> Column:
     return F.trim(reduce(lambda c, p: F.replace(c, F.lit(f" {p[0]} "), F.lit(f" {p[1]} ")), phrases, spaced))
 
 
+def spoken_decimals(text: Column) -> Column:
+    """`2 kilos 5` as `2.5 kilos`: digits that follow a unit of measure at once, and no unit follows them, are its decimals."""
+    return F.regexp_replace(text, rf"\b([0-9]+) (kilos?|kg|litres?) ([0-9]{{1,2}})\b(?! *(?:{'|'.join(UNIT_WORDS)})\b)", "$1.$3 $2")
+
+
+def without_calendar(text: Column) -> Column:
+    """Days of a month out of a text, so that they are no quantities; a weekday before them stays."""
+    months = "janvier|fevrier|mars|avril|mai|juin|juillet|aout|septembre|octobre|novembre|decembre"
+    return F.trim(F.regexp_replace(text, rf"(?:\ble )?\b[0-9]{{1,2}}(?:er)? (?:{months})\b", ""))
+
+
 def clauses(text: Column) -> Column:
     """Clauses of a message with digits: cut at , ; and points that are no decimals, at `et` before a number, before a closing formula."""
     cut = F.regexp_replace(text, r"\s*(?:[;,]|\.(?![0-9]))\s*|\s+et\s+(?=[0-9])|\s+(?=(?:pour (?:demain|apres demain|lundi|mardi|mercredi|jeudi|vendredi|samedi)|merci)\b)", "\u0001")

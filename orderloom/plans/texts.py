@@ -94,6 +94,11 @@ def token_set_pairs(spark, sf_dir):
     return _name_pairs(spark, sf_dir).select("p_name", "other", F.bround(similarity.token_set_ratio(t, o), 4).alias("set_ratio"), F.bround(similarity.token_sort_ratio(t, o), 4).alias("sort_ratio"))
 
 
+def partial_ratio_pairs(spark, sf_dir):
+    a, b = F.col("p_name"), F.col("other")
+    return _name_pairs(spark, sf_dir).select("p_name", "other", F.bround(similarity.partial_ratio(a, b), 4).alias("partial"), F.bround(similarity.matching_ratio(a, b), 4).alias("matching"))
+
+
 def blocked_product_search(spark, sf_dir, limit: int = 9):
     """For each distinct type of part the best names by what they share with it and what they sold, within quotas by brand."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
@@ -150,7 +155,7 @@ def markdown_report(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.array_join(lines, "<br>").alias("cell"))
 
 
-QUERIES = {f.__name__: f for f in (normalized_documents, token_document_frequency, hotwords_topk, overlapping_word_windows, adjacent_repeats, lookback_near_duplicates, carried_context, enumeration_headers, name_phonetic_keys, indel_ratio_pairs, token_set_pairs, blocked_product_search, packaging_quantity, rule_bonus_match, spoken_codes, phones_in_documents, markdown_report)}
+QUERIES = {f.__name__: f for f in (normalized_documents, token_document_frequency, hotwords_topk, overlapping_word_windows, adjacent_repeats, lookback_near_duplicates, carried_context, enumeration_headers, name_phonetic_keys, indel_ratio_pairs, token_set_pairs, partial_ratio_pairs, blocked_product_search, packaging_quantity, rule_bonus_match, spoken_codes, phones_in_documents, markdown_report)}
 
 _CANON = "trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g'))"
 _TOKENS = f"list_filter(string_split({_CANON}, ' '), lambda x: x <> '')"

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderloom.functions import dates, numbers, similarity, text
+from orderloom.operators import extraction
 
 
 def one(spark, column, **values):
@@ -82,3 +83,30 @@ def test_named_delivery_date(spark, said, days):
 def test_plural_roots(spark):
     got = spark.createDataFrame([(w,) for w in ("tomates", "gas", "oeufs", "riz")], "w string").select(text.root(F.col("w")).alias("x")).collect()
     assert [r.x for r in got] == ["tomat", "gas", "oeuf", "riz"]
+
+
+def test_partial_ratio(spark):
+    rng = random.Random(5)
+    words = ["", "a", "fourme"] + ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 10))) for _ in range(10)]
+    pairs = [(a, b) for a in words for b in words] + [(None, "a")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity.partial_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    for r in got:
+        if r.a is None:
+            assert r.r is None
+            continue
+        short, long = sorted((r.a, r.b), key=len)
+        pieces = [long[i:j] for i in range(len(long)) for j in range(i + 1, min(i + len(short), len(long)) + 1) if j - i == len(short) or i == 0 or j == len(long)]
+        want = max((200 * lcs(short, p) / (len(short) + len(p)) for p in pieces), default=100.0 if not long else 0.0) if short else (100.0 if not long else 0.0)
+        assert r.r == pytest.approx(want), (r.a, r.b)
+        assert similarity.lcs_bits(r.a, r.b) == lcs(r.a, r.b)
+
+
+@pytest.mark.parametrize(("said", "label", "fit"), [("500 g", "beurre 0,5 kg", 12.0), ("500 g", "lait 1 l", -12.0), ("1 l", "creme 1.5 l", -9.0), ("1 l", "pain", 0.0)])
+def test_physical_fit(spark, said, label, fit):
+    assert one(spark, numbers.physical_fit(numbers.measures(F.col("s"))[0], numbers.measures(F.col("l"))), s=said, l=label) == pytest.approx(fit)
+
+
+def test_decimals_and_calendar(spark):
+    assert one(spark, extraction.spoken_decimals(F.col("t")), t="2 kilos 5 de pain et 3 litres 25") == "2.5 kilos de pain et 3.25 litres"
+    assert one(spark, extraction.spoken_decimals(F.col("t")), t="2 kilos 5 cartons") == "2 kilos 5 cartons"
+    assert one(spark, extraction.without_calendar(F.col("t")), t="pour lundi le 12 mars") == "pour lundi"
