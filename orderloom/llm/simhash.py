@@ -92,13 +92,15 @@ def near_links(nodes: DataFrame, radii: tuple[int, ...]) -> DataFrame:
     spark = nodes.sparkSession
     masks = covering_masks(radii[0])
     keys = F.array(*[F.xxhash64(F.lit(v), F.col("sig")[0].bitwiseAND(_long(m))) for v, m in enumerate(masks)])
-    rows = nodes.select("node", F.explode(keys).alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    rows = nodes.select("node", F.col("sig")[0].alias("coarse"), F.explode(keys).alias("key"))
+    buckets = rows.groupBy("key").agg(F.min("node").alias("least"), F.min_by("coarse", "node").alias("least_coarse"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(rows.join(buckets, "key"), "buckets")
 
-    pairs = shared.where("node <> least").select("node", "least").distinct()
-    a, b = nodes.select("node", F.col("sig").alias("sig_a")), nodes.select(F.col("node").alias("least"), F.col("sig").alias("sig_b"))
-    close = pairs.join(a, "node").join(b, "least").where(_close(F.col("sig_a"), F.col("sig_b"), radii))
+    near = F.bit_count(F.col("coarse").bitwiseXOR(F.col("least_coarse"))) <= radii[0]
+    close = shared.where((F.col("node") != F.col("least")) & near).select("node", "least").distinct()
+    if len(radii) > 1:
+        a, b = nodes.select("node", F.col("sig").alias("sig_a")), nodes.select(F.col("node").alias("least"), F.col("sig").alias("sig_b"))
+        close = close.join(a, "node").join(b, "least").where(_close(F.col("sig_a"), F.col("sig_b"), radii))
     first = materialize(close.select(F.col("node").alias("a"), F.col("least").alias("b")), "star-links")
     roots = materialize(components(first), "roots")
 
