@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 from .components import components
+from .shingles import group_alike
 from .words import majority, shingle_hashes, signed, texts_of, words_of
 
 SMALL_BUCKET, BLOCK = 16, 1024
@@ -51,36 +52,6 @@ def signatures(shingle_words: int) -> Callable:
     return fingerprint
 
 
-def near_signatures(shingle_words: int = 5, parts: int = 4) -> Callable:
-    """An Arrow function from a text column to arrays of 1 + parts fingerprints. The first is of the words, each weighted by
-    the root of how often it occurs, and near copies differ little in it; the others are of the shingles, rehashed for each.
-    """
-    from pyspark.sql.functions import arrow_udf
-
-    def weighted(words: list[bytes]) -> int:
-        if not words:
-            return 0
-        once, n = np.unique(shingle_hashes(words, 1), return_counts=True)
-        weight = np.sqrt(n)
-        bits = np.unpackbits(once.view(np.uint8), bitorder="little").reshape(-1, 64)
-        return int(np.packbits(2 * (weight @ bits) > weight.sum(), bitorder="little").view(np.uint64)[0])
-
-    @arrow_udf("array<long>")
-    def fingerprints(texts: pa.Array) -> pa.Array:
-        found = []
-        for t in texts_of(texts):
-            words = words_of(t)
-            h = shingle_hashes(words, shingle_words)
-            found.append(weighted(words))
-            for k in range(parts):
-                x = (h + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) if k else h
-                found.append(majority((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) if k else x))
-        n = len(texts)
-        return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (1 + parts), pa.array(signed(found)))
-
-    return fingerprints
-
-
 def _long(value: int) -> Column:
     return F.lit(int(np.uint64(value).astype(np.int64)))
 
@@ -185,14 +156,11 @@ def op2_simhash(spark, sf_dir, shingle_words: int = 3, radius: int = 3):
     return grouped.select("doc_id", F.lower(F.lpad(F.hex(F.col("sig")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For five-word shingles and a similarity of 0.8: two texts that are so alike differ in 256 * acos(2 * 0.8 / 1.8) / pi = 39 of
-#: 256 bits on average, with a standard deviation of 6, which is granted on top. Their words' fingerprints differ in 5 bits or so.
-NEAR_WORDS, NEAR_SHINGLES = 6, 44
-
-
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest id. Rows that are the same in all stay once."""
-    grouped = group_near(docs.select("doc_id", "text"), near_signatures()(F.col("text")), (NEAR_WORDS, NEAR_SHINGLES))
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest id. Rows that are the same in all stay once.
+
+    Fingerprints are no gate here: at that similarity they differ in 39 of 256 bits, and no covering of so many keeps bits enough to tell texts apart."""
+    grouped = group_alike(docs.select("doc_id", "text"))
     kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     kept = materialize(kept, "kept")
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates()
