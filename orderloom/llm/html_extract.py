@@ -38,7 +38,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = set("article aside body div section main table ul ol dl td th blockquote nav header footer form".split())
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I
 )
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -77,10 +77,10 @@ def _marked(tag: str, attributes: str) -> bool:
 def _tree(page: str) -> _Node:
     """The tree of elements and texts, without what is never content. End tags that fit nothing open are passed over."""
     root = at = _Node("html", None)
-    skip: list[str] = []  # open tags inside an element that is left out, that one first
+    left_out: list[_Node] = []  # elements that are never content; they close as any other does, then they go
     place = 0
     for m in _TAG.finditer(page):
-        if m.start() > place and not skip:
+        if m.start() > place:
             leaf = _Node("#", at)
             leaf.text = page[place : m.start()]
             at.kids.append(leaf)
@@ -88,13 +88,6 @@ def _tree(page: str) -> _Node:
         closing, tag = m[2], (m[3] or "").lower()
         if not tag:
             continue
-        if skip:
-            if closing:
-                if tag in skip:
-                    del skip[len(skip) - 1 - skip[::-1].index(tag) :]
-            elif tag not in VOID and not m[4].endswith("/"):
-                skip.append(tag)
-            continue
         if closing:
             up = at
             while up.parent is not None and up.tag != tag:
@@ -110,20 +103,23 @@ def _tree(page: str) -> _Node:
                 up = up.parent
             if up.tag in ends and up.parent is not None:
                 at = up.parent
-        if _marked(tag, m[4]):
-            if tag not in VOID and not m[4].endswith("/"):
-                skip.append(tag)
-            elif tag in BLOCK:
-                at.kids.append(_Node(tag, at))
-            continue
         node = _Node(tag, at)
         at.kids.append(node)
+        if _marked(tag, m[4]):
+            left_out.append(node)
+            if m[4].endswith("/"):
+                continue
         if tag not in VOID:
             at = node
-    if place < len(page) and not skip:
+    if place < len(page):
         leaf = _Node("#", at)
         leaf.text = page[place:]
         at.kids.append(leaf)
+    for node in left_out:
+        node.kids = []
+        if node.tag not in BLOCK:
+            node.tag = "#"
+            node.text = ""
     return root
 
 

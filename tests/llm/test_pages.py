@@ -43,6 +43,16 @@ def test_deep_and_broken_pages():
     assert html_extract.main_text("a < b and <b>bold") == "a < b and bold"
 
 
+@pytest.mark.parametrize(
+    "before",
+    ["<div><nav>menu</div>", "<p class='ad'>Buy now", "<ul><li class='ad'>Buy now<li>", "<div><div class='ad'>Buy now</div></div>", "<section><div class='ad'>Buy now</section>", "<div><svg-icon name='x'></div>", "<div><template-x></div>"],
+)
+def test_unclosed_marked_elements_end_where_they_must(before):
+    article = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(3))
+    tail = "</ul>" if before.startswith("<ul>") else ""
+    assert html_extract.main_text(f"<body>{before}{tail}<div>{article}</div></body>") == "\n".join(f"{'word ' * 40}{i}" for i in range(3))
+
+
 def test_extract_table(spark):
     rows = [(1, None, None, "old", "h"), (2, "u", "<p>x</p>", "old", "h"), (2, "u", "<p>x</p>", "old", "h"), (None, None, "plain", None, None)]
     got = html_extract.extract_text(spark.createDataFrame(rows, PAGES))
