@@ -3,8 +3,8 @@
 A page becomes a tree of elements. Every node gets the characters, tags, link characters and link tags below it, and from
 them its composite density: characters per tag, lowered by the share of text in links as against the whole body. A node's
 density sum is the sum of its children's densities; the node with the largest sum lies within the content. On the path
-from it up to the body the lowest density is the threshold, and of the nodes at or above the threshold on that path the
-one with the largest sum is the main block. What is never content (menus, forms, scripts, adverts, comments and the like) is out of the
+from it up to the body the lowest number of characters per tag is the threshold; the node of the largest sum there and the blocks beside the
+path that are at or above the threshold are the main text, in page order. What is never content (menus, forms, scripts, adverts, comments and the like) is out of the
 tree before that. Pages are apart from each other, so this is one Arrow function over a column: no shuffle.
 """
 
@@ -152,27 +152,41 @@ def _measure(root: _Node) -> list[_Node]:
     return elements
 
 
-def _main(root: _Node) -> _Node:
-    """The node of the largest density sum at or above the threshold, on the path that the threshold comes from."""
+def _main(root: _Node) -> list[_Node]:
+    """The blocks of the main text, in page order: the node of the largest density sum on the path, and what stands beside the path at or above the threshold."""
     elements = _measure(root)
     found = [n for n in elements if n.tag in ("article", "main") and n.chars]
     best = max(elements, key=lambda n: n.sum)
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    for n in path:  # an element that the page itself names as its article bounds the search
-        if n in found:
-            return n
-    threshold = min(n.density for n in path)
-    top = max((n for n in path[:-1] if n.density >= threshold), key=lambda n: n.sum, default=best)
+    if named := [n for n in path if n in found]:  # elements that the page itself names as its articles bound the search
+        return [named[-1]] if named[-1].tag == "main" else _outermost(root, [n for n in found if n is named[-1] or n.link_chars <= 0.5 * n.chars])
+    plain = lambda n: n.chars / max(n.tags, 1)  # noqa: E731  not the composite density, which grows with a block's size
+    threshold = min(map(plain, path))
+    top = max(path[:-1], key=lambda n: n.sum, default=best)
     while (up := top.parent) is not None and up.parent is not None:  # a heading or a short lead often stands beside the densest block
         more = up.chars - top.chars
         if more > 0.25 * top.chars or up.link_chars - top.link_chars > 0.5 * more:
             break
         top = up
-    if inside := [n for n in found if _below(n, top)]:
-        return max(inside, key=lambda n: n.chars)
-    return top
+    blocks, at = [top], top
+    while at.parent is not None:
+        blocks += [n for n in at.parent.kids if n is not at and n.chars and plain(n) >= threshold and n.link_chars <= 0.5 * n.chars]
+        at = at.parent
+    return _outermost(root, [n for n in found if any(_below(n, x) for x in blocks)] or blocks)
+
+
+def _outermost(root: _Node, nodes: list[_Node]) -> list[_Node]:
+    """In page order, without those below another."""
+    wanted, kept, stack = set(map(id, nodes)), [], [root]
+    while stack:
+        n = stack.pop()
+        if id(n) in wanted:
+            kept.append(n)
+        else:
+            stack.extend(n.kids[::-1])
+    return kept
 
 
 def _below(node: _Node, top: _Node) -> bool:
@@ -203,7 +217,7 @@ def main_text(page: str | None) -> str:
     """The main text of one page; empty for a null, empty or text-free page."""
     if not page:
         return ""
-    return _blocks(_main(_tree(page)))
+    return "\n".join(y for x in _main(_tree(page)) if (y := _blocks(x)))
 
 
 def extracted(page: Column) -> Column:

@@ -43,6 +43,18 @@ def test_deep_and_broken_pages():
     assert html_extract.main_text("a < b and <b>bold") == "a < b and bold"
 
 
+def _section(tag, n, word):
+    return f"<{tag}>" + "".join(f"<p>{' '.join([word] * 60)}</p>" for _ in range(n)) + f"</{tag}>", [" ".join([word] * 60)] * n
+
+
+@pytest.mark.parametrize(("tag", "outer"), [("section", "<div>{}</div>"), ("div", "{}"), ("article", "<div>{}</div>"), ("article", "<main><h1>Lead</h1>{}</main>")])
+def test_text_in_several_blocks_comes_out_whole(tag, outer):
+    parts = [_section(tag, n, w) for n, w in ((4, "one"), (4, "two"), (3, "three"))]
+    links = "<div>" + "<a href='/x'>some other page of this site</a> " * 12 + "</div>"
+    page = f"<body>{links}{outer.format(''.join(p for p, _ in parts))}{links}</body>"
+    assert html_extract.main_text(page) == "\n".join(["Lead"] * ("Lead" in outer) + [t for _, ts in parts for t in ts])
+
+
 @pytest.mark.parametrize(
     "before",
     ["<div><nav>menu</div>", "<p class='ad'>Buy now", "<ul><li class='ad'>Buy now<li>", "<div><div class='ad'>Buy now</div></div>", "<section><div class='ad'>Buy now</section>", "<div><svg-icon name='x'></div>", "<div><template-x></div>"],
