@@ -1,11 +1,15 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements. Every node gets the characters, tags, link characters and link tags below it, and from
-them its composite density: characters per tag, lowered by the share of text in links as against the whole body. A node's
-density sum is the sum of its children's densities; the node with the largest sum lies within the content. On the path
-from it up to the body the lowest number of characters per tag is the threshold; the node of the largest sum there and the blocks beside the
-path that are at or above the threshold are the main text, in page order. What is never content (menus, forms, scripts, adverts, comments and the like) is out of the
-tree before that. Pages are apart from each other, so this is one Arrow function over a column: no shuffle.
+A page becomes a tree of elements. Every element gets the characters, tags, link characters and link tags below it, and
+from them its composite density: characters per tag, weighed by the share of text in links as against the whole body (a
+body without any link has nothing to weigh by: characters per tag alone). A block's density sum adds up the densities of the
+blocks and loose texts right below it; a block that holds no others has its own density. The lowest density on the path
+from the block of the largest sum up to the body is the threshold, and every block at or above it gives its subtree of
+the largest sum: these, in page order, are the main text, each with the heading that stands right before it. What is never
+content (menus, forms, scripts, adverts, comments and the like) leaves the tree before that. Elements inside a line are
+tags, and links, but no subtrees to choose, as that would cut a block in two. The tags article and main are blocks as
+others are. Pages are apart from each other, so this is one Arrow function over a column: no shuffle. Every step takes time
+in proportion to the page, whatever is unclosed in it.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,11 +40,12 @@ MARKS = set(
 ABOUT = {"with", "without", "has", "no"}
 #: End tags that a start tag implies.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {b: {"p"} for b in BLOCK - {"body", "html", "li", "dt", "dd", "tr", "td", "th"}}
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 SCOPE = set("article aside body div section main table ul ol dl td th blockquote nav header footer form".split())
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[\"'>]")
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -47,10 +53,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "parent", "sum", "tag", "tags", "text")
+    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "parent", "sum", "tag", "tags", "text", "top")
 
-    def __init__(self, tag: str, parent: _Node | None):
-        self.tag, self.parent, self.kids, self.text = tag, parent, [], None
+    def __init__(self, tag: str, parent: _Node | None, text: str | None = None):
+        self.tag, self.parent, self.kids, self.text, self.top = tag, parent, [], text, self
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -74,63 +80,113 @@ def _marked(tag: str, attributes: str) -> bool:
     return False
 
 
-def _tree(page: str) -> _Node:
-    """The tree of elements and texts, without what is never content. End tags that fit nothing open are passed over."""
-    root = at = _Node("html", None)
-    left_out: list[_Node] = []  # elements that are never content; they close as any other does, then they go
-    place = 0
-    for m in _TAG.finditer(page):
-        if m.start() > place:
-            leaf = _Node("#", at)
-            leaf.text = page[place : m.start()]
-            at.kids.append(leaf)
-        place = m.end()
-        closing, tag = m[2], (m[3] or "").lower()
-        if not tag:
+def _pieces(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) in page order; kinds: text, start, end. Comments, declarations and raw contents are left out.
+
+    A tag ends at the first > outside quotes. Once a tag has no such end, quotes are taken for ordinary characters from
+    there on, and what has no > after it is text; so no part of a page is searched more than a few times.
+    """
+    place, quotes, last = 0, True, page.rfind(">")
+    begin = 0
+    while (at := page.find("<", place)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            yield "text", page[begin:at], ""
+            begin = place = end + 3 if end >= 0 else len(page)
             continue
-        if closing:
-            up = at
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
-                at = up.parent
+        m = _NAME.match(page, at + 1)
+        if at > last or not m and page[at + 1 : at + 2] not in ("!", "?", "/"):
+            place = at + 1
             continue
-        if tag in ("html", "body"):
+        k = m.end() if m else at + 1
+        end = page.find(">", k)
+        if m and quotes:
+            while (stop := _STOP.search(page, k)) and stop[0] != ">":
+                closing = page.find(stop[0], stop.end())
+                k = closing + 1 if closing >= 0 else len(page)
+            quotes = stop is not None
+            end = stop.start() if stop else end
+        yield "text", page[begin:at], ""
+        begin = place = end + 1
+        if not m:
             continue
-        if ends := CLOSES.get(tag):
-            up = at
-            while up.parent is not None and up.tag not in ends and up.tag not in SCOPE:
-                up = up.parent
-            if up.tag in ends and up.parent is not None:
-                at = up.parent
-        node = _Node(tag, at)
-        at.kids.append(node)
-        if _marked(tag, m[4]):
-            left_out.append(node)
-            if m[4].endswith("/"):
-                continue
-        if tag not in VOID:
-            at = node
-    if place < len(page):
-        leaf = _Node("#", at)
-        leaf.text = page[place:]
-        at.kids.append(leaf)
+        name = m[2].lower()
+        if m[1]:
+            yield "end", name, ""
+            continue
+        yield "start", name, page[m.end() : end]
+        if name in _ENDS:
+            close = _ENDS[name].search(page, place)
+            yield "end", name, ""
+            begin = place = close.end() if close else len(page)
+    yield "text", page[begin:], ""
+
+
+def _tree(page: str) -> _Node:
+    """The tree of elements and texts, without what is never content. End tags that fit nothing open are passed over.
+
+    Where elements of a name are open is kept in a list for each name, so that an end tag finds its element at once.
+    """
+    root = _Node("html", None)
+    path, at_tag, scopes = [root], {}, [0]  # open elements; their places in it by name; places of those that implied ends stop at
+    left_out: list[_Node] = []  # elements that are never content; they close as any other does, then they go
+
+    def close(place: int) -> None:
+        while len(path) > place:
+            gone = path.pop()
+            at_tag[gone.tag].pop()
+            if scopes[-1] == len(path):
+                scopes.pop()
+
+    for kind, name, attributes in _pieces(page):
+        if kind == "text":
+            if name:
+                path[-1].kids.append(_Node("#", path[-1], name))
+        elif kind == "end":
+            if places := at_tag.get(name):
+                close(places[-1])
+        elif name not in ("html", "body"):
+            if ends := CLOSES.get(name):
+                open_at = max((at_tag[e][-1] for e in ends if at_tag.get(e)), default=0)
+                if open_at > 0 and open_at >= scopes[-1]:
+                    close(open_at)
+            node = _Node(name, path[-1])
+            path[-1].kids.append(node)
+            if _marked(name, attributes):
+                left_out.append(node)
+                if attributes.endswith("/"):
+                    continue
+            if name not in VOID:
+                at_tag.setdefault(name, []).append(len(path))
+                if name in SCOPE:
+                    scopes.append(len(path))
+                path.append(node)
     for node in left_out:
         node.kids = []
         if node.tag not in BLOCK:
-            node.tag = "#"
-            node.text = ""
+            node.tag, node.text = "#", ""
     return root
 
 
+def composite(chars: int, tags: int, link_chars: int, link_tags: int, whole: float) -> float:
+    """Composite text density; whole: the body's share of characters in links. Counts of nothing are taken for one."""
+    if not chars:
+        return 0.0
+    per_tag = chars / max(tags, 1)
+    if not whole:
+        return per_tag
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + whole * chars + math.e)
+    return per_tag * math.log(max(chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1), 1.0)) / math.log(base)
+
+
 def _measure(root: _Node) -> list[_Node]:
-    """Counts, densities and density sums of all elements; the elements, parents before children. No recursion, so depth does not matter."""
+    """Counts, densities, density sums and the best subtree of every block; the blocks, parents before children. No recursion, so depth does not matter."""
     order = [root]
     for node in order:
         order.extend(node.kids)
     for node in reversed(order):
         if node.text is not None:
-            node.chars = len(node.text) - node.text.count(" ")
+            node.chars = len(node.text) - sum(map(node.text.count, " \t\n\r"))
         elif node.tag == "a":
             node.link_chars, node.link_tags = node.chars, 1
         if up := node.parent:
@@ -138,61 +194,59 @@ def _measure(root: _Node) -> list[_Node]:
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
             up.tags += node.tags + (node.text is None)
-    elements = [n for n in order if n.text is None]
     whole = root.link_chars / max(root.chars, 1)
-    for n in elements:
-        if n.chars:
-            plain = max(n.chars - n.link_chars, 1)
-            tags, links = max(n.tags, 1), max(n.link_tags, 1)
-            base = math.log(n.chars / plain * n.link_chars + whole * n.chars + math.e)
-            n.density = n.chars / tags * math.log(max(n.chars / max(n.link_chars, 1) * tags / links, 1.0)) / math.log(base) if base > 1 else n.chars / tags
-    for n in elements:
-        if n.parent is not None:
-            n.parent.sum += n.density
-    return elements
+    blocks = {id(n) for n in order if n.text is None and (n.tag in BLOCK or n is root)}
+    for n in reversed(order):  # a link or the like around blocks is a block too
+        if id(n) in blocks and n.parent is not None:
+            blocks.add(id(n.parent))
+    found = [n for n in order if id(n) in blocks]
+    for n in reversed(found):
+        n.density = composite(n.chars, n.tags, n.link_chars, n.link_tags, whole)
+        inner = [k for k in n.kids if id(k) in blocks]
+        loose = [k for k in n.kids if id(k) not in blocks]
+        if inner:
+            add = lambda name: sum(getattr(k, name) for k in loose)  # noqa: B023, E731
+            n.sum = sum(k.density for k in inner) + composite(add("chars"), add("tags") + sum(k.text is None for k in loose), add("link_chars"), add("link_tags"), whole)
+        else:
+            n.sum = n.density
+        n.top = max((n, *(k.top for k in inner)), key=lambda x: x.sum)
+    return found
 
 
 def _main(root: _Node) -> list[_Node]:
-    """The blocks of the main text, in page order: the node of the largest density sum on the path, and what stands beside the path at or above the threshold."""
-    elements = _measure(root)
-    found = [n for n in elements if n.tag in ("article", "main") and n.chars]
-    best = max(elements, key=lambda n: n.sum)
-    path = [best]
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
-    if named := [n for n in path if n in found]:  # elements that the page itself names as its articles bound the search
-        return [named[-1]] if named[-1].tag == "main" else _outermost(root, [n for n in found if n is named[-1] or n.link_chars <= 0.5 * n.chars])
-    plain = lambda n: n.chars / max(n.tags, 1)  # noqa: E731  not the composite density, which grows with a block's size
-    threshold = min(map(plain, path))
-    top = max(path[:-1], key=lambda n: n.sum, default=best)
-    while (up := top.parent) is not None and up.parent is not None:  # a heading or a short lead often stands beside the densest block
-        more = up.chars - top.chars
-        if more > 0.25 * top.chars or up.link_chars - top.link_chars > 0.5 * more:
-            break
-        top = up
-    blocks, at = [top], top
-    while at.parent is not None:
-        blocks += [n for n in at.parent.kids if n is not at and n.chars and plain(n) >= threshold and n.link_chars <= 0.5 * n.chars]
+    """The blocks of the main text, in page order."""
+    blocks = [n for n in _measure(root) if n.chars]
+    if not blocks:
+        return []
+    threshold, at = math.inf, root.top
+    while at is not None:
+        threshold = min(threshold, at.density)
         at = at.parent
-    return _outermost(root, [n for n in found if any(_below(n, x) for x in blocks)] or blocks)
-
-
-def _outermost(root: _Node, nodes: list[_Node]) -> list[_Node]:
-    """In page order, without those below another."""
-    wanted, kept, stack = set(map(id, nodes)), [], [root]
+    chosen = {id(n.top): n.top for n in blocks if n.density >= threshold and n.density > 0} or {id(root): root}
+    holding = set(chosen)
+    for n in chosen.values():
+        while (n := n.parent) is not None and id(n) not in holding:
+            holding.add(id(n))
+    kept, stack = [], [root]
     while stack:
         n = stack.pop()
-        if id(n) in wanted:
+        if id(n) in chosen:
             kept.append(n)
-        else:
-            stack.extend(n.kids[::-1])
+            continue
+        for k, after in zip(n.kids[::-1], [None, *_next_with_text(n.kids)], strict=False):
+            if id(k) in holding or k.tag in HEADING and k.chars and after is not None and id(after) in holding:
+                if id(k) not in holding:
+                    chosen[id(k)] = k
+                stack.append(k)
     return kept
 
 
-def _below(node: _Node, top: _Node) -> bool:
-    while node is not None and node is not top:
-        node = node.parent
-    return node is top
+def _next_with_text(kids: list[_Node]) -> Iterator[_Node | None]:
+    """For each of kids but the last, from behind: the next after it that has text and is no heading."""
+    after = None
+    for k in kids[:0:-1]:
+        after = k if k.chars and k.tag not in HEADING else after
+        yield after
 
 
 def _blocks(top: _Node) -> str:
