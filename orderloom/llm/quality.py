@@ -1,17 +1,22 @@
 """Quality classification by importance resampling: target against raw text under hashed n-gram models, Gumbel top-k.
 
-Two pairs of generative models are fitted on a bounded sample of labelled documents: text of good quality against all
-sampled text, and harmless text against all sampled text. A model is a bag of hashed features: words, pairs of
-neighbours and punctuation runs, each counted once for a document. A document's importance weight under a pair is
-the ratio of the likelihoods that the two models give it. Counts are smoothed in proportion to each model's size, so a
-feature that the sample doesn't have weighs nothing for either side, and features whose rates don't differ beyond chance
-weigh nothing either. A labelled document is scored with its own counts taken out of the models.
-
-Weights above the cut-off count as one another (importance weights are truncated there), and documents are drawn without
-replacement with probability in proportion to weight ** (1 / temperature): each gets its log weight / temperature plus a
-Gumbel variate from a hash of its id, and the k largest stay. k is the number of documents at or above the cut-offs,
-which come from the scores of the labelled sample. Scores are found in one pass over the texts without a shuffle; only
-ids and numbers are shuffled afterwards.
+Target is text of good quality that is not toxic. Raw text is a mixture of target and of what the labels tell from it (low
+quality; toxic text of good quality), in the shares that all documents together show. Each part is a bag of hashed n-grams: single
+words and punctuation runs, pairs of neighbours (a pair of equal words is the same feature whatever the word), and each of
+these again for every power of two that it occurs a document; a document has each of its features once.
+
+A part's rate of a feature is the rate in the labelled sample times a ratio. That ratio is one (no difference) or drawn from a
+Gamma distribution of mean one and of shape `prior`, the latter with probability `differs` beforehand; its posterior mean is taken.
+So a difference that chance explains weighs next to nothing, whatever the number of such features. Rates of a part add up to one.
+
+A document's importance weight is p_target(x) / p_raw(x) = 1 / sum over parts j of share_j * p_j(x) / p_target(x). The
+shares come from the labelled sample and from all documents: expectation maximisation over a histogram of the log ratios, of a
+bounded number of cells. Documents are drawn without replacement with probability in proportion to weight ** (1 /
+temperature): each gets its log weight / temperature plus a Gumbel variate from a hash of its id and text, and the k largest
+stay. k is `keep` times the number of documents that the model expects to be target; a little over one, as among equal weights
+the draw would else leave out a target for every other text that it takes.
+
+Texts are read once, and nothing of them is shuffled; the k-th key is found from counts of keys by their leading bits.
 """
 
 from __future__ import annotations
@@ -26,15 +31,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prefix_sum, table
+from .common import materialize, table
 
 _TOKEN = regex.compile(r"\w+|[^\w\s]+", regex.V1)
 BUCKETS = 1 << 18
+#: Parts of raw text beside the target.
+PARTS = ("low", "toxic")
+#: Cells of the histogram: log ratios in steps of STEP up to LIMIT on either side.
+STEP, LIMIT = 0.5, 40.0
+#: Bits of a key that a pass of the selection tells apart, passes, and the fraction bits that a key has.
+RADIX, PASSES, FRACTION = 14, 3, 31
 _h = xxhash.xxh3_64_intdigest
-
-
-#: Features of pairs of equal words: one for each twentieth of the tokens that repeat the token before.
-_AGAIN = np.array([_h(f"repeats {i}") for i in range(20)], np.uint64)
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_SAME = np.uint64(_h(b"a word and the same again"))
 
 
 def features(text: str | None) -> np.ndarray:
@@ -43,154 +52,171 @@ def features(text: str | None) -> np.ndarray:
     if not tokens:
         return np.empty(0, np.int64)
     one = np.fromiter(map(_h, tokens), np.uint64, len(tokens))
-    two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
-    mask = np.uint64(BUCKETS - 1)
-    again = int(20 * np.count_nonzero(one[:-1] == one[1:]) / len(tokens))
-    two = np.concatenate([two, _AGAIN[:again]])
-    both = np.concatenate([(one >> np.uint64(20)) & mask, ((two >> np.uint64(40)) & mask) + np.uint64(BUCKETS)])
-    return np.unique(both).astype(np.int64)
-
-
-@dataclass
-class Ratio:
-    """log p(feature | target) / p(feature | raw) from how many sampled documents of either kind have the feature."""
-
-    target: np.ndarray
-    raw: np.ndarray
-    share: float  # of all feature occurrences in the sample, those in the target
-    smooth: float = 2.0
-    least_z: float = 4.0
-    spread: bool = False  # in standard deviations: by the square root of the number of features, so that length does not count
-
-    def weights(self, feature: np.ndarray, own_target: int = 0, own_raw: int = 0) -> np.ndarray:
-        """Without a document of its own that has each feature, if own_* are 1."""
-        t, r = self.target[feature] - own_target, self.raw[feature] - own_raw
-        s = self.share
-        chance = np.sqrt(np.maximum(r * s * (1 - s), 1e-9))
-        log = np.log((t + self.smooth * s) / ((r + self.smooth) * s))
-        return np.where(np.abs(t - s * r) >= self.least_z * chance, log, 0.0)
-
-    def score(self, feature: np.ndarray, own_target: int = 0, own_raw: int = 0) -> float:
-        """The log importance weight of a document; features in favour count for a tenth, as a text is only as good as its bad parts."""
-        w = self.weights(feature, own_target, own_raw)
-        total = float(w[w < 0].sum() + 0.1 * w[w > 0].sum()) if len(w) else 0.0
-        return total / np.sqrt(max(len(w), 1)) if self.spread else total
-
-
-def _count(rows: DataFrame) -> np.ndarray:
-    """good, harmless and all counts of each feature, summed over tasks; rows: text, good, harmless."""
+    two = np.where(one[:-1] == one[1:], _SAME, (one[:-1] * _A + one[1:]) * _B)
+    found = []
+    for half, grams in enumerate((one, two)):
+        distinct, often = np.unique(grams, return_counts=True)
+        level = np.zeros(len(distinct), np.uint64)
+        while len(distinct):
+            mixed = (distinct ^ level * _A) * _B
+            found.append(((mixed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64) + half * BUCKETS)
+            more = often >= 2 << int(level[0])
+            distinct, often, level = distinct[more], often[more], level[more] + np.uint64(1)
+    return np.unique(np.concatenate(found))
+
+
+def _count(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many documents of target and of each other part have each feature, and how many documents there are; rows: text, part (0: target)."""
+    n_parts = 1 + len(PARTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, 2 * BUCKETS), np.int32)
+        sums = np.zeros((n_parts, 2 * BUCKETS + 1), np.int32)
         for b in batches:
-            for text, good, harmless in zip(b["text"], b["good"], b["harmless"], strict=True):
-                f = features(text.as_py())
-                sums[2, f] += 1
-                sums[0, f] += good.as_py()
-                sums[1, f] += harmless.as_py()
-        has = np.flatnonzero(sums[2])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (has, *(sums[:, has]))], ["feature", "good", "harmless", "n"])
-
-    per = rows.mapInArrow(count, "feature long, good int, harmless int, n int")
-    sums = per.groupBy("feature").agg(*[F.sum(c).cast("int").alias(c) for c in ("good", "harmless", "n")]).toArrow()
-    counts = np.zeros((3, 2 * BUCKETS))
-    counts[:, sums["feature"].to_numpy()] = [sums[c].to_numpy() for c in ("good", "harmless", "n")]
-    return counts
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000) -> tuple[tuple[Ratio, Ratio], DataFrame]:
-    """The two ratios, and the sample: id, good (0/1), harmless (0/1). labels: id, quality, toxic (nulls don't count).
-
-    At most max_labelled labelled rows are used, those whose ids have the smallest hashes; an id that is labelled more
-    than once counts as bad if any row says so. The sample's bound is what lets it be broadcast to the scan of docs.
-    """
-    usable = labels.where("quality is not null and toxic is not null and doc_id is not null")
-    usable = usable.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").cast("int").alias("good"), (1 - F.max("toxic")).cast("int").alias("harmless"))
-    sample = materialize(usable.orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(max_labelled), "labelled")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    good, harmless, every = _count(rows.select("text", "good", "harmless"))
-    total = max(every.sum(), 1.0)
-    share = lambda x: min(max(x.sum() / total, 1e-6), 1 - 1e-6)
-    return (Ratio(good, every, share(good), spread=True), Ratio(harmless, every, share(harmless))), sample
+            for text, part in zip(b["text"], b["part"].to_pylist(), strict=True):
+                sums[part, features(text.as_py())] += 1
+                sums[part, -1] += 1
+        part, has = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(has), pa.array(sums[part, has])], ["part", "feature", "n"])
 
+    per = rows.mapInArrow(count, "part int, feature long, n int")
+    sums = per.groupBy("part", "feature").agg(F.sum("n").cast("int").alias("n")).toArrow()  # bounded by parts times buckets
+    counts = np.zeros((n_parts, 2 * BUCKETS + 1))
+    counts[sums["part"].to_numpy(), sums["feature"].to_numpy()] = sums["n"].to_numpy()
+    return counts[:, :-1], counts[:, -1]
 
-def scores(text: Column, ratios: tuple[Ratio, Ratio]) -> Column:
-    """For each ratio three log weights: for a document outside the sample, in its target, and in the sample beside the target."""
-    from pyspark.sql.functions import arrow_udf
 
-    @arrow_udf("array<double>")
-    def score(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts:
-            f = features(t.as_py())
-            out.append([r.score(f, *own) for r in ratios for own in ((0, 0), (1, 1), (0, 1))])
-        return pa.array(out, pa.list_(pa.float64()))
+def _rising(start: float, most: int) -> np.ndarray:
+    """log of start (start + 1) ... (start + n - 1) for n = 0 ... most."""
+    return np.concatenate([[0.0], np.cumsum(np.log(start + np.arange(most)))])
 
-    return score(text)
 
+def ratios(own: np.ndarray, every: np.ndarray, share: float, prior: float, differs: float) -> np.ndarray:
+    """Posterior means of a part's rates over the sample's; own, every: documents with the feature in the part and in all."""
+    own, every = own.astype(np.int64), every.astype(np.int64)
+    most = int(every.max()) if len(every) else 0
+    yes, no, all_ = (_rising(prior * x, most) for x in (share, 1 - share, 1.0))
+    evidence = yes[own] + no[every - own] - all_[every] - own * np.log(share) - (every - own) * np.log(1 - share)
+    odds = np.exp(np.minimum(np.log(differs / (1 - differs)) + evidence, 500.0))
+    return (1 + odds * (own + prior * share) / ((every + prior) * share)) / (1 + odds)
 
-def _cut(values: np.ndarray, fine: np.ndarray, cost: float = 3.0) -> float:
-    """The cut-off for which fewest of the fine fall below it (each counting cost) and of the others above; halfway to the next below. Without both kinds: none."""
-    if fine.all() or not fine.any():
-        return -np.inf
-    order = np.argsort(values, kind="stable")
-    v, ok = values[order], fine[order]
-    # at cut i everything before i goes
-    wrong = cost * np.concatenate([[0], np.cumsum(ok)]) + np.concatenate([[0], np.cumsum(~ok)])[-1] - np.concatenate([[0], np.cumsum(~ok)])
-    wrong[1:-1][v[1:] == v[:-1]] = np.inf
-    i = int(np.argmin(wrong))
-    if i == 0:
-        return -np.inf
-    return float((v[i - 1] + v[i]) / 2) if i < len(v) else np.inf
 
+@dataclass
+class Model:
+    """weights[j]: log p_j(feature) / p_target(feature) of each part j beside the target; documents of the sample by part, target first."""
 
-def _bin(key: Column) -> Column:
-    """Bins of falling keys: even ones down to -20, about where drawn documents end, and below that ever wider ones."""
-    below = F.floor(F.log1p(F.greatest(-key - 20, F.lit(0.0))) * 2000)
-    return F.floor(-F.greatest(F.lit(-20.0), F.least(F.lit(40.0), key)) * 2000) + below
+    weights: np.ndarray
+    sample: np.ndarray
 
+    def score(self, feature: np.ndarray) -> np.ndarray:
+        return self.weights[:, feature].sum(axis=1, dtype=np.float64)
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, max_labelled: int = 20_000, temperature: float = 0.02, seed: int = 9) -> DataFrame:
-    """The columns `keep` of docs with __q, __t (log importance weights), __key and __kept; written once, texts are not shuffled.
 
-    The draw's last key is found from keys and ids alone, and rows are held against it where they stand.
-    """
-    ratios, sample = fit(docs, labels, id_col, text_col, max_labelled)
-    keep = keep or [id_col]
-    mine = sample.select(F.col("id").alias("__of"), F.col("good").alias("__good"), F.col("harmless").alias("__harmless"))
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__text_hash")
-    scored = docs.select(*keep, F.col(id_col).alias("__id"), text_hash, scores(F.col(text_col), ratios).alias("__s")).join(F.broadcast(mine), F.col("__id") == F.col("__of"), "left")
-    pick = lambda at, kind: F.when(F.col(kind).isNull(), F.col("__s")[at]).when(F.col(kind) == 1, F.col("__s")[at + 1]).otherwise(F.col("__s")[at + 2])
-    scored = materialize(scored.select(*keep, "__id", "__text_hash", "__good", "__harmless", pick(0, "__good").alias("__q"), pick(3, "__harmless").alias("__t")), "weights")
-
-    known = scored.where("__good is not null").select("__good", "__harmless", "__q", "__t").orderBy("__q", "__t").limit(2 * max_labelled).toArrow()
-    good, harmless = (known[c].to_numpy() == 1 for c in ("__good", "__harmless"))
-    q_cut = _cut(known["__q"].to_numpy(), good) if len(known) else -np.inf
-    t_cut = _cut(known["__t"].to_numpy(), harmless) if len(known) else -np.inf
-    at_most = lambda c, cut: F.least(F.col(c) - F.lit(cut), F.lit(0.0)) if np.isfinite(cut) else F.lit(0.0 if cut < 0 else -1e9)
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__id", "__text_hash"), 11).cast("double") + 0.5) / float(1 << 53)
-    key = (at_most("__q", q_cut) + at_most("__t", t_cut)) / temperature - F.log(-F.log(uniform))
-    scored = scored.withColumn("__key", key)
-    above = F.count_if((at_most("__q", q_cut) == 0) & (at_most("__t", t_cut) == 0))
-    place = F.struct((-F.col("__key")).alias("falling"), F.col("__id").alias("id"), F.col("__text_hash").alias("text_hash"))
-    k = scored.agg(above).first()[0]
-    keyed = scored.select(place.alias("place"), _bin(F.col("__key")).alias("bin"), F.lit(1).cast("long").alias("one"))
-    last = prefix_sum(keyed, [], "bin", ["place"], "one", "rank").where(F.col("rank") == k - 1).select("place").first() if k else None
-    if last is None:
-        return scored.withColumn("__kept", F.lit(False))
-    edge = F.struct(F.lit(last.place.falling).alias("falling"), F.lit(last.place.id).cast(scored.schema["__id"].dataType).alias("id"), F.lit(last.place.text_hash).alias("text_hash"))
-    return scored.withColumn("__kept", place <= edge)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, prior: float = 4.0, differs: float = 0.01) -> Model:
+    """labels: doc_id, quality, toxic (nulls don't count). At most max_labelled labelled ids are used, those with the smallest hashes; an id that is
+    labelled more than once is as bad as any row says. The bound is what lets the sample be broadcast to the scan of docs."""
+    usable = labels.where("quality is not null and toxic is not null and doc_id is not null")
+    usable = usable.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    part = F.when(F.col("quality") == 0, 1).when(F.col("toxic") != 0, 2).otherwise(0)
+    sample = materialize(usable.orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(max_labelled).select("id", part.alias("part")), "labelled")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    counts, n = _count(rows.select("text", "part"))
+    weights = np.full((len(PARTS), 2 * BUCKETS), 0.0, np.float32)
+    held = [j for j in range(len(n)) if counts[j].sum()]
+    if 0 in held and len(held) > 1:
+        every, total = counts.sum(axis=0), counts.sum()
+        rate = (every + 1) / (every + 1).sum()
+        log = {}
+        for j in held:
+            r = ratios(counts[j], every, counts[j].sum() / total, prior, differs)
+            log[j] = np.log(r / (r @ rate))
+        for j in held[1:]:
+            weights[j - 1] = log[j] - log[0]
+    else:
+        n = np.zeros(len(n))
+    return Model(weights, np.where([j in held for j in range(len(n))], n, 0.0))
+
+
+def log_ratios(text: Column, model: Model) -> Column:
+    """log p_j(x) / p_target(x) for each part j beside the target."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("array<double>")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(features(t.as_py())) for t in texts], pa.list_(pa.float64()))
+
+    return score(text)
+
+
+def shares(cells: list[tuple], sample: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Shares of target and parts in all text: expectation maximisation over cells (log ratio of each part, documents), with the sample's labels as known."""
+    held = sample > 0
+    now = sample / sample.sum()
+    if not cells:
+        return now
+    at = np.array([[0.0, *c[:-1]] for c in cells])[:, held]
+    n = np.array([c[-1] for c in cells], float)
+    part = now[held]
+    for _ in range(rounds):
+        p = part * np.exp(at - at.max(axis=1, keepdims=True))
+        part = (p / p.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0) + sample[held]
+        part /= part.sum()
+    now[held] = part
+    return now
+
+
+def _kth(keys: DataFrame, k: int) -> int | None:
+    """The k-th largest of the longs `key`, by counts of their leading bits; None for k below 1. No row moves."""
+    if k < 1:
+        return None
+    top, left = None, k
+    for i in range(PASSES):
+        shift = RADIX * (PASSES - 1 - i)
+        some = keys if top is None else keys.where(F.shiftright("key", shift + RADIX) == top)
+        cells = some.groupBy(F.shiftright("key", shift).alias("lead")).agg(F.count("*").alias("n")).collect()  # 2 ** RADIX at most, but for the first pass
+        for lead, n in sorted(map(tuple, cells), reverse=True):
+            if n >= left:
+                top = lead
+                break
+            left -= n
+    return top
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: list[str] | None = None, keep: float = 1.02, temperature: float = 1.0, seed: int = 9, **fitting) -> DataFrame:
+    """The columns `keep_columns` of docs with __weight (log importance weight), __target (the probability of being target), __key and __kept; written once."""
+    columns = keep_columns or [id_col]
+    model = fit(docs, labels, id_col, text_col, **fitting)
+    hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("__hash")
+    ratio = log_ratios(F.col(text_col), model) if model.sample.sum() else F.array(*[F.lit(0.0)] * len(PARTS))
+    scored = materialize(docs.select(*columns, hashed, ratio.alias("__s")), "weights")
+
+    cell = [F.bround(F.least(F.greatest(F.col("__s")[j], F.lit(-LIMIT)), F.lit(LIMIT)) / STEP) * STEP for j in range(len(PARTS))]
+    share = np.array([1.0] + [0.0] * len(PARTS))
+    if model.sample.sum():
+        cells = scored.groupBy(*[c.alias(p) for c, p in zip(cell, PARTS, strict=True)]).agg(F.count("*").alias("n")).collect()  # (2 LIMIT / STEP + 1) ** 2 at most
+        share = shares(sorted(map(tuple, cells)), model.sample)
+    # 1 / weight = share of target + sum of share_j * ratio_j; the exponent stays where doubles hold it
+    over = sum((F.lit(float(w)) * F.exp(F.least(F.col("__s")[j], F.lit(600.0))) for j, w in enumerate(share[1:])), F.lit(float(share[0])))
+    weight = -F.log(over)
+    uniform = (F.shiftrightunsigned("__hash", 11).cast("double") + 0.5) / float(1 << 53)
+    key = weight / temperature - F.log(-F.log(uniform))
+    fixed = F.floor(F.least(F.greatest(key, F.lit(-1000.0)), F.lit(1000.0)) * float(1 << FRACTION))
+    target = F.lit(float(share[0])) / over
+    scored = scored.select(*columns, weight.alias("__weight"), target.alias("__target"), key.alias("__key"), fixed.alias("__fixed"))
+    expected = scored.agg(F.sum(F.col("__target").cast("decimal(19,9)"))).first()[0] or 0
+    last = _kth(scored.select(F.col("__fixed").alias("key")), round(keep * float(expected)))
+    return scored.withColumn("__kept", F.col("__fixed") >= last if last is not None else F.lit(False))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row per row of docs: id, quality_weight, safety_weight (log importance weights), sample_key, kept.
+    """One row per row of docs: id, log_weight (of importance), target_probability, sample_key, kept.
 
-    Empty and null texts have no features, so weights of 0. Rows that repeat an id are judged each, and rows that are the
-    same are drawn or left together. A null id is drawn as any other. Without labels of both kinds for a pair that pair
-    rejects nothing. An empty table gives an empty result.
+    Empty and null texts have no features, so the weight of raw text as such, 1. Rows that repeat an id are judged each;
+    rows that are the same have the same key and are drawn or left together, so that more than k may stay. A null id is
+    drawn as any other. Without labels of both target and another kind nothing is known of the difference: all stay. Columns
+    that are neither id nor text are not read, whatever their names. An empty table gives an empty result.
     """
     rows = judged(docs, labels, id_col, **options)
-    return rows.select(id_col, F.col("__q").alias("quality_weight"), F.col("__t").alias("safety_weight"), F.col("__key").alias("sample_key"), F.col("__kept").alias("kept"))
+    return rows.select(id_col, F.col("__weight").alias("log_weight"), F.col("__target").alias("target_probability"), F.col("__key").alias("sample_key"), F.col("__kept").alias("kept"))
 
 
 def op9_quality(spark, sf_dir):
@@ -198,5 +224,5 @@ def op9_quality(spark, sf_dir):
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are drawn, with their columns."""
-    return judged(docs, table(spark, sf_dir, "labels"), keep=docs.columns).where("__kept").select(*docs.columns)
+    """The documents that are drawn, with all their columns, whatever those are called. Nulls, empty texts, repeated rows and empty tables: see classify()."""
+    return judged(docs, table(spark, sf_dir, "labels"), keep_columns=docs.columns).where("__kept").select(*docs.columns)

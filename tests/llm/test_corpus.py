@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -108,9 +109,76 @@ def test_quality_tells_held_out_documents(spark):
     for r in held:
         counts[r.quality, r.toxic][r.kept] += 1
     share = lambda c: c[True] / c.total()
-    assert share(counts[1, 0]) > 0.97
+    assert share(counts[1, 0]) > 0.98
     assert share(counts[0, 0]) < 0.1
-    assert share(counts[1, 1]) < 0.4
+    assert share(counts[0, 1]) < 0.1
+    assert share(counts[1, 1]) < 0.35
+
+
+def named_features(text):
+    """The features of a text by name: n-gram and power of two."""
+    tokens = re.findall(r"\w+|[^\w\s]+", text or "")
+    pairs = ["same" if a == b else (a, b) for a, b in zip(tokens, tokens[1:], strict=False)]
+    return {(kind, g, level) for kind, grams in (("one", tokens), ("two", pairs)) for g, n in Counter(grams).items() for level in range(n.bit_length())}
+
+
+def log_posterior_ratio(own, every, share, prior=4.0, differs=0.01):
+    rising = lambda start, n: math.lgamma(start + n) - math.lgamma(start)
+    evidence = rising(prior * share, own) + rising(prior * (1 - share), every - own) - rising(prior, every) - own * math.log(share) - (every - own) * math.log(1 - share)
+    odds = differs / (1 - differs) * math.exp(evidence)
+    return (1 + odds * (own + prior * share) / ((every + prior) * share)) / (1 + odds)
+
+
+def test_quality_against_its_definition(spark):
+    rng = random.Random(12)
+    kinds = {(1, 0): WORDS[:6], (0, 0): [w + "!!" for w in WORDS[:6]], (1, 1): WORDS[:6] + ["scum"] * 6}
+    rows, marks = [], []
+    for i in range(240):
+        mark = rng.choices(list(kinds), (6, 2, 1))[0]
+        words = [rng.choice(kinds[mark]) for _ in range(rng.randrange(4, 60))]
+        rows.append((i, " ".join(words + words[-1:] * rng.choice((0, 0, 3)))))
+        if i % 2:
+            marks.append((i, *mark))
+    got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()
+
+    part = {i: {(1, 0): 0, (0, 0): 1, (1, 1): 2}[q, t] for i, q, t in marks}
+    texts = dict(rows)
+    counts = [Counter(f for i, j in part.items() if j == k for f in named_features(texts[i])) for k in range(3)]
+    every = counts[0] + counts[1] + counts[2]
+    total, n = every.total(), [sum(j == k for j in part.values()) for k in range(3)]
+    ratio = [{f: log_posterior_ratio(counts[k][f], every[f], counts[k].total() / total) for f in every} for k in range(3)]
+    unseen = 2 * quality.BUCKETS - len(every)
+    rates = total + 2 * quality.BUCKETS
+    level = [math.log((sum(ratio[k][f] * (every[f] + 1) for f in every) + unseen) / rates) for k in range(3)]
+    score = lambda t, k: sum(math.log(ratio[k].get(f, 1)) - level[k] - math.log(ratio[0].get(f, 1)) + level[0] for f in named_features(t))
+    scores = {i: [score(t, 1), score(t, 2)] for i, t in rows}
+
+    half = lambda x: max(-40.0, min(40.0, round(2 * x) / 2))
+    share = [x / sum(n) for x in n]
+    for _ in range(100):
+        sums = list(map(float, n))
+        for s in scores.values():
+            p = [w * math.exp(x) for w, x in zip(share, (0.0, *map(half, s)), strict=True)]
+            sums = [a + b / sum(p) for a, b in zip(sums, p, strict=True)]
+        share = [x / sum(sums) for x in sums]
+    for r in got:
+        over = share[0] + share[1] * math.exp(scores[r.doc_id][0]) + share[2] * math.exp(scores[r.doc_id][1])
+        assert r.log_weight == pytest.approx(-math.log(over), abs=1e-3), r
+        assert r.target_probability == pytest.approx(share[0] / over, abs=2e-3)
+    # the draw: Gumbel variates over log weights, the k largest keys
+    k = round(1.02 * sum(r.target_probability for r in got))
+    assert {r.doc_id for r in got if r.kept} == {r.doc_id for r in sorted(got, key=lambda r: -r.sample_key)[:k]}
+    noise = sorted(r.sample_key - r.log_weight for r in got)
+    assert max(abs(math.exp(-math.exp(-x)) - (i + 0.5) / len(noise)) for i, x in enumerate(noise)) < 0.11
+
+
+def test_the_kth_key_of_any_keys(spark):
+    rng = random.Random(13)
+    keys = [rng.choice((-1, 1)) * rng.randrange(1 << rng.randrange(1, 42)) for _ in range(500)] + [5] * 40
+    df = spark.createDataFrame([(x,) for x in keys], "key long")
+    for k in (1, 2, 250, 300, 540):
+        assert quality._kth(df, k) == sorted(keys, reverse=True)[k - 1]
+    assert quality._kth(df, 0) is None
 
 
 def test_quality_on_edges_and_nothing(spark, edges, nothing):
