@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or, where none is set (tests), a new one."""
+    """The folder that all executors see: spark.checkpoint.dir, or, where none is set, a new local one; that only on a local master, where all share it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         found = f"file://{tempfile.mkdtemp(prefix='orderloom-')}"
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -67,6 +69,18 @@ def discard(*tables: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to clash with no column of df (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z only; other letters keep their case."""
     return F.translate(col, UPPER, LOWER)

@@ -23,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 SHINGLE = 5
 #: ASCII punctuation parts words, A-Z are lower-cased.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""", b"abcdefghijklmnopqrstuvwxyz" + b" " * 32)
 _h = xxhash.xxh64_intdigest
 _GATE_BITS = 22
+#: Windows that are fingerprinted at once; what a text takes beside itself follows from this and the longest item.
+CHUNK = 4096
 
 
 def plain_words(text: bytes | None) -> list[bytes]:
@@ -65,6 +67,15 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return shared / union if union else 0.0
 
 
+def _starts(hits: np.ndarray, n: int, size: int, last: int) -> Iterator[np.ndarray]:
+    """First words of the windows of n words that hold a hit, rising, CHUNK at most at a time and from one cluster of hits."""
+    low, high = np.clip(hits - n + size, 0, last), np.minimum(hits, last) + 1
+    ends = np.flatnonzero(np.append(low[1:] > high[:-1], True))  # both rise with the hits
+    for a, b in zip(low[np.append(0, ends[:-1] + 1)].tolist(), high[ends].tolist(), strict=True):
+        for i in range(a, b, CHUNK):
+            yield np.arange(i, min(i + CHUNK, b))
+
+
 class Items:
     """A block of benchmark items: shingles by size of window, and fingerprints by blocks of 16 bits."""
 
@@ -130,64 +141,65 @@ class Items:
             at = np.searchsorted(keys, g[hits])
             sure = keys[np.minimum(at, len(keys) - 1)] == g[hits]
             hits, at = hits[sure], at[sure]
-            starts: dict[int, list[np.ndarray]] = {}
+            places: dict[int, list[int]] = {}
             for i, a in zip(hits.tolist(), at.tolist(), strict=True):
                 for n in sizes[a]:
-                    last = max(len(words) - n, 0)
-                    starts.setdefault(n, []).append(np.arange(min(max(i - n + size, 0), last), min(i, last) + 1))
-            if not starts:
-                continue
-            low = int(hits[0]) - max(starts) if len(hits) else 0
-            low = max(low, 0)
-            high = min(int(hits[-1]) + max(starts) + 1, len(g))
-            sums = np.zeros((high - low + 1, 64), np.int32)
-            np.cumsum(_bits(g[low:high]), axis=0, out=sums[1:], dtype=np.int32)
-            for n, some in starts.items():
-                first = np.unique(np.concatenate(some))
+                    places.setdefault(n, []).append(i)
+            for n, some in places.items():
                 m = min(n - size + 1, len(g))
-                first = first[(first >= low) & (first + m <= high)]
-                prints = _pack(2 * (sums[first - low + m] - sums[first - low]) > m)
-                for w, i in self.within(n, prints):
-                    s = int(first[w])
-                    alike = weighted_similarity(Counter(g[s : s + m].tolist()), self.counts[i])
-                    if alike >= similarity:
-                        bits = (int(prints[w]) ^ int(self.prints[i])).bit_count()
-                        best[i] = min(best.get(i, (0.0,)), (-alike, s, min(n, len(words)), bits))
+                for first in _starts(np.array(some), n, size, max(len(words) - n, 0)):
+                    low = int(first[0])
+                    sums = np.zeros((int(first[-1]) - low + m + 1, 64), np.int32)
+                    np.cumsum(_bits(g[low : low + len(sums) - 1]), axis=0, out=sums[1:], dtype=np.int32)
+                    prints = _pack(2 * (sums[first - low + m] - sums[first - low]) > m)
+                    for w, i in self.within(n, prints):
+                        s = int(first[w])
+                        alike = weighted_similarity(Counter(g[s : s + m].tolist()), self.counts[i])
+                        if alike >= similarity:
+                            bits = (int(prints[w]) ^ int(self.prints[i])).bit_count()
+                            best[i] = min(best.get(i, (0.0,)), (-alike, s, min(n, len(words)), bits))
         return [(self.ids[i], -a, s, n, bits) for i, (a, s, n, bits) in best.items()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = 0.8,
-               radius: int = 15, block_items: int = 20_000) -> DataFrame:
-    """One row for each document and item that it holds: id, item id, similarity, first_word, n_words, differing_bits (of the best window).
-
-    Null and empty texts hold nothing, and null, empty and word-free items are in nothing. Rows and items that repeat
-    an id give the better answer once. Either table empty: an empty result. Texts are read whole, whatever their length.
-    """
+def _search(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, similarity: float, radius: int, block_items: int) -> DataFrame:
+    """doc, text_hash, item, similarity, first_word, n_words, differing_bits: for each row of docs and item of a block of items the best window."""
     spark = docs.sparkSession
     id_type = dict(docs.dtypes)[id_col]
     item_type = dict(benchmark.dtypes)[item_col]
-    schema = f"doc {id_type}, item {item_type}, similarity double, first_word long, n_words long, differing_bits int"
+    schema = f"doc {id_type}, text_hash long, item {item_type}, similarity double, first_word long, n_words long, differing_bits int"
     items = materialize(benchmark.select(item_col, "text").where("text is not null"), "benchmark")
     n_blocks = max(1, -(-items.count() // block_items))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     found = None
     for b in range(n_blocks):
-        own = items.where(F.pmod(F.xxhash64(item_col, "text"), F.lit(n_blocks)) == b).collect()
+        own = items.where(F.pmod(F.xxhash64(item_col, "text"), F.lit(n_blocks)) == b).collect()  # block_items or about as many
         held = spark.sparkContext.broadcast(Items([tuple(r) for r in own], radius))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [(doc, *leak) for doc, text in zip(batch["doc"].to_pylist(), batch["text"], strict=True) for leak in held.value.leaks(text.as_py(), similarity)]
-                columns = list(zip(*out, strict=True)) or [[]] * 6
-                kinds = [batch["doc"].type, None, pa.float64(), pa.int64(), pa.int64(), pa.int32()]
-                names = ["doc", "item", "similarity", "first_word", "n_words", "differing_bits"]
+                keys = zip(batch["doc"].to_pylist(), batch["text_hash"].to_pylist(), batch["text"], strict=True)
+                out = [(doc, mark, *leak) for doc, mark, text in keys for leak in held.value.leaks(text.as_py(), similarity)]
+                columns = list(zip(*out, strict=True))
+                kinds = [batch["doc"].type, pa.int64(), None, pa.float64(), pa.int64(), pa.int64(), pa.int32()]
+                names = ["doc", "text_hash", "item", "similarity", "first_word", "n_words", "differing_bits"]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         part = rows.mapInArrow(search, schema)
         found = part if found is None else found.unionByName(part)
+    return found
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = 0.8,
+               radius: int = 15, block_items: int = 20_000) -> DataFrame:
+    """One row for each document and item that it holds: id, item id, similarity, first_word, n_words, differing_bits (of the best window).
+
+    Null and empty texts hold nothing, and null, empty and word-free items are in nothing. Rows and items that repeat
+    an id give the better answer once; a null id is an id like any other. Other columns are not read, whatever their names. Either
+    table empty: an empty result. Texts are read whole, whatever their length.
+    """
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("f"), "n_words", "differing_bits"))
-    found = found.groupBy("doc", "item").agg(best.alias("b"))
+    found = _search(docs, benchmark, id_col, text_col, item_col, similarity, radius, block_items).groupBy("doc", "item").agg(best.alias("b"))
     return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.similarity", (-F.col("b.f")).alias("first_word"), "b.n_words", "b.differing_bits")
 
 
@@ -196,6 +208,13 @@ def op4_decontamination(spark, sf_dir):
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    leaky = materialize(find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaky")
-    return docs.join(leaky, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that hold no benchmark item, with all their columns, whatever those are called.
+
+    A row goes by its id and its own text, so rows without an id, and those that repeat an id with another text, are judged
+    each. Null and empty texts hold nothing and stay, rows that repeat stay or go together. An empty table, or an empty benchmark: all stay.
+    """
+    of_id, of_hash, hashed = fresh(docs, "of_id", "of_hash", "text_hash")
+    leaky = _search(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", 0.8, 15, 20_000)
+    leaky = materialize(leaky.select(F.col("doc").alias(of_id), F.col("text_hash").alias(of_hash)).distinct(), "leaky")
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(hashed) == F.col(of_hash))
+    return docs.withColumn(hashed, F.xxhash64("text")).join(leaky, same, "left_anti").select(*docs.columns)

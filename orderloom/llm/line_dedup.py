@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, discard, materialize
+from .common import SPACE_CHARS, ascii_lower, discard, fresh, materialize
 
 KEY = ["h1", "h2"]
 
@@ -51,14 +51,10 @@ class LineRuns:
             discard(*runs)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
-    """docs with text_col replaced, and n_lines, n_dropped: lines whose key is in min_docs documents or more go everywhere.
-
-    A line's key: stripped of white space at both ends, A-Z lower-cased; keys shorter than min_chars code points never
-    go. A row is a document, so rows that repeat an id count each. Null and empty texts are one empty line and come
-    back as the empty text. Other columns stay as they are. An empty table gives an empty result.
-    """
+def _deduped(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, batches: int) -> tuple[DataFrame, str, str]:
+    """docs with text_col replaced and two more columns, the names of which follow: lines of each text, lines dropped."""
     spark = docs.sparkSession
+    of_id, of_hash, gone_at, text_hash, parts, n_lines, n_dropped = fresh(docs, "of_id", "of_hash", "gone", "text_hash", "lines", "n_lines", "n_dropped")
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
     line_key = lambda x: F.btrim(ascii_lower(x), F.lit(SPACE_CHARS))
@@ -78,17 +74,32 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = LineRuns(spark, min_docs)
     for b in range(batches):
         runs.add(own.where((F.col("batch") == b) & F.col("first")).select(*KEY))
-    gone = own.join(runs.frequent(), KEY, "left_semi").groupBy("id", "text_hash").agg(F.collect_set("pos").alias("gone__"))
-    gone = gone.select(F.col("id").alias("of_id__"), F.col("text_hash").alias("of_hash__"), "gone__")
-
-    whole = docs.withColumn("text_hash__", F.xxhash64(text))
-    whole = whole.join(gone, F.col(id_col).eqNullSafe(F.col("of_id__")) & (F.col("text_hash__") == F.col("of_hash__")), "left")
-    whole = whole.withColumn("lines__", lines)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("lines__") - 1), "gone__")
-    kept = F.when(F.col("gone__").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda p: F.col("lines__")[p]), "\n"))
+    # written first, so that both sides of the join are plain exchanges: adaptive execution splits a very common line only then
+    frequent = materialize(runs.frequent(), "frequent-lines")
+    gone = own.join(frequent, KEY, "left_semi").groupBy("id", "text_hash").agg(F.collect_set("pos").alias("gone"))
+    gone = gone.select(F.col("id").alias(of_id), F.col("text_hash").alias(of_hash), F.col("gone").alias(gone_at))
+
+    whole = docs.withColumn(text_hash, F.xxhash64(text))
+    whole = whole.join(gone, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(text_hash) == F.col(of_hash)), "left")
+    whole = whole.withColumn(parts, lines)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone_at)
+    kept = F.when(F.col(gone_at).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda p: F.col(parts)[p]), "\n"))
     columns = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    n_dropped = F.when(F.col("gone__").isNull(), 0).otherwise(F.size("gone__"))
-    return whole.select(*columns, F.size("lines__").cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
+    dropped = F.when(F.col(gone_at).isNull(), 0).otherwise(F.size(gone_at))
+    return whole.select(*columns, F.size(parts).cast("long").alias(n_lines), dropped.cast("long").alias(n_dropped)), n_lines, n_dropped
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
+    """docs with text_col replaced, and n_lines, n_dropped: lines whose key is in min_docs documents or more go everywhere.
+
+    A line's key: stripped of white space at both ends, A-Z lower-cased; keys shorter than min_chars code points never
+    go. A row is a document, so rows that repeat an id count each. Null and empty texts are one empty line and come
+    back as the empty text. Other columns stay as they are, but for those named n_lines or n_dropped, which give way to the
+    new ones. An empty table gives an empty result.
+    """
+    found, n_lines, n_dropped = _deduped(docs, id_col, text_col, min_docs, min_chars, batches)
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return found.select(*kept, F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"))
 
 
 def op8_line_dedup(spark, sf_dir):
@@ -97,8 +108,15 @@ def op8_line_dedup(spark, sf_dir):
 
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the lines that ten documents or more have; n_chars follows the text."""
-    return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """docs without the lines that ten documents or more have; n_chars follows the text, all other columns stay, whatever they are called.
+
+    Every row stays. Null and empty texts become the empty text; a text of which all lines go too. Rows that repeat, or
+    repeat an id, are documents each and all stay. An empty table gives an empty result.
+    """
+    found = _deduped(docs, "doc_id", "text", 10, 1, 4)[0]
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
 
 
 SQL = r"""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 from .components import components
-from .shingles import group_alike
+from .shingles import one_of_each
 from .words import majority, shingle_hashes, signed, texts_of, words_of
 
 SMALL_BUCKET, BLOCK = 16, 1024
@@ -157,10 +157,11 @@ def op2_simhash(spark, sf_dir, shingle_words: int = 3, radius: int = 3):
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest id. Rows that are the same in all stay once.
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest id, with all its columns, whatever those are called.
 
-    Fingerprints are no gate here: at that similarity they differ in 39 of 256 bits, and no covering of so many keeps bits enough to tell texts apart."""
-    grouped = group_alike(docs.select("doc_id", "text"))
-    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = materialize(kept, "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates()
+    Fingerprints are no gate here: at that similarity they differ in 39 of 256 bits, and no covering of so many keeps bits enough to tell texts apart.
+    Null and empty texts and those without words are copies of each other: one stays. Of rows that repeat, or repeat an id and a text, one
+    stays; of a group's rows that share its smallest id, the one with the smallest text hash. A null id comes after all others. Columns of
+    any type are carried along. An empty table gives an empty result.
+    """
+    return one_of_each(docs)

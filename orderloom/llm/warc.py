@@ -89,9 +89,11 @@ def read_archive(records: DataFrame, payloads: DataFrame) -> DataFrame:
     return carrying.unionByName(records.where("record_type <> 'response'").select("uid", F.concat("header", end).alias("record")))
 
 
-def parse_records(archive: DataFrame) -> DataFrame:
+def parse_records(archive: DataFrame, id_type: str = "bigint") -> DataFrame:
     """What each record's bytes say: uid, page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload, intact.
 
+    Ids are read as id_type; an id that is none of that type is null.
+
     For a response, length and digest are those of the bytes themselves, and intact tells whether they agree with its
     headers; for a revisit they are those its headers give of the payload it refers to, and payload is null.
     """
@@ -102,10 +104,10 @@ def parse_records(archive: DataFrame) -> DataFrame:
     size = value(F.col("warc"), "Content-Length").cast("long") - F.octet_length("http") - 4
     rows = head.select(
         "uid",
-        value(F.col("warc"), "WARC-Page-ID").cast("long").alias("page_id"),
+        value(F.col("warc"), "WARC-Page-ID").try_cast(id_type).alias("page_id"),
         value(F.col("warc"), "WARC-Target-URI").alias("url"),
         value(F.col("warc"), "WARC-Type").alias("record_type"),
-        value(F.col("warc"), "WARC-Refers-To-Page-ID").cast("long").alias("refers_to"),
+        value(F.col("warc"), "WARC-Refers-To-Page-ID").try_cast(id_type).alias("refers_to"),
         F.regexp_replace(value(F.col("warc"), "WARC-Payload-Digest"), "^sha1:", "").alias("said_digest"),
         value(F.col("http"), "Content-Length").cast("long").alias("said_bytes"),
         F.substring(F.col("record"), offset + 1, size.cast("int")).alias("payload"),
@@ -121,8 +123,9 @@ def parse_records(archive: DataFrame) -> DataFrame:
 
 
 def op10_warc(spark, sf_dir):
-    records, payloads = write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return parse_records(read_archive(records, payloads)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    records, payloads = write_archive(pages)
+    return parse_records(read_archive(records, payloads), dict(pages.dtypes)["page_id"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 SQL = r"""

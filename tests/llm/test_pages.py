@@ -240,5 +240,13 @@ def test_short_payloads_are_all_responses(spark):
     assert all(r.intact for r in parsed if r.record_type == "response")
 
 
+def test_ids_of_another_type(spark):
+    pages = spark.createDataFrame([("b", "u", "same", None, None), ("a é", "u", "same", None, None), (None, "u", "x", None, None)], PAGES.replace("page_id long", "page_id string"))
+    archive = warc.read_archive(*warc.write_archive(pages))
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.parse_records(archive, "string").collect()}
+    assert got == {("a é", "response", None), ("b", "revisit", "a é"), (None, "response", None)}
+    assert {r.page_id for r in warc.parse_records(archive).collect()} == {None}
+
+
 def test_empty_archive(spark):
     assert warc.parse_records(warc.read_archive(*warc.write_archive(spark.createDataFrame([], PAGES)))).count() == 0
