@@ -42,10 +42,16 @@ def number_phrase(n: int) -> str:
 
 
 def digits_for_words(text: Column) -> Column:
-    """Number words as digits, longest phrases first. `un` alone stays, as it is an article too."""
-    phrases = sorted(((number_phrase(n), n) for n in range(100) if n != 1), key=lambda p: -len(p[0]))
-    spaced = F.concat(F.lit(" "), text, F.lit(" "))
-    return F.trim(reduce(lambda c, p: F.replace(c, F.lit(f" {p[0]} "), F.lit(f" {p[1]} ")), phrases, spaced))
+    """Number words as digits: tens with what follows them (`et` between them or not) as one number, `un` and `une` as 1.
+
+    Spaces are doubled first, so that words next to each other have theirs each; words that are read bear a mark until numbers are put together.
+    """
+    padded = F.replace(F.regexp_replace(text, r"([,;.:!?])(?=\s|$)", " $1"), F.lit(" "), F.lit("  "))
+    words = [("quatre  vingts", 80), ("quatre  vingt", 80), *((TENS[n], n) for n in (20, 30, 40, 50, 60)), *((f"dix  {ONES[n - 10]}", n) for n in (17, 18, 19)), *((w, n) for n, w in enumerate(ONES)), ("une", 1)]
+    marked = reduce(lambda c, w: F.replace(c, F.lit(f" {w[0]} "), F.lit(f" §{w[1]} ")), words, F.concat(F.lit(" "), padded, F.lit(" ")))
+    for pattern, number in ((r"§60  (?:et  )?§1([0-9])(?= )", "7$1"), (r"§80  (?:et  )?§1([0-9])(?= )", "9$1"), (r"§([2-68])0  (?:et  )?§([1-9])(?= )", "$1$2")):
+        marked = F.regexp_replace(marked, pattern, number)
+    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(marked, F.lit("§"), F.lit("")), " +", " "), r" ([,;.:!?])(?=\s|$)", "$1"))
 
 
 def spoken_decimals(text: Column) -> Column:

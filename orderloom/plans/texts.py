@@ -15,8 +15,9 @@ RULES = [("the", ["the"], [], [], 10), ("that and", ["that", "and"], [], ["est"]
 
 def normalized_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    canon = text.canonical(F.col("text"))
-    return d.select("doc_id", F.sha2(canon, 256).alias("canonical_sha256"), F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    d = d.select("doc_id", F.explode(F.array(text.canonical(F.col("text")))).alias("canon"))  # found once
+    words = F.when(F.col("canon") == "", 0).otherwise(F.length("canon") - F.length(F.replace("canon", F.lit(" "), F.lit(""))) + 1)
+    return d.select("doc_id", F.sha2("canon", 256).alias("canonical_sha256"), words.cast("long").alias("n_tokens"))
 
 
 def token_document_frequency(spark, sf_dir):
@@ -35,7 +36,8 @@ def hotwords_topk(spark, sf_dir, k: int = 160):
 
 
 def overlapping_word_windows(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.windows(text.tokens(F.col("text")))).alias("position", "words"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(text.tokens(F.col("text")))).alias("tokens"))  # found once, then cut
+    d = d.select("doc_id", F.posexplode(text.windows(F.col("tokens"))).alias("position", "words"))
     return d.select("doc_id", F.col("position").cast("long").alias("position"), F.size("words").cast("long").alias("n_words"), F.sha2(F.array_join("words", " "), 256).alias("window_sha256"))
 
 
@@ -143,14 +145,14 @@ def spoken_codes(spark, sf_dir):
 
 
 def phones_in_documents(spark, sf_dir):
-    """Phone numbers in texts and how many documents have each."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(0[1-9][0-9]{8})"), 1)).alias("raw"))
+    """Phone numbers in texts, in national or international form, and how many documents have each."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"((?:\+33|0033|0)[ .-]?[1-9](?:[ .-]?[0-9]{2}){4})"), 1)).alias("raw"))
     return d.select("doc_id", numbers.phone(F.col("raw")).alias("phone")).where("phone is not null").groupBy("phone").agg(F.count_distinct("doc_id").alias("n_documents"))
 
 
 def markdown_report(spark, sf_dir):
     """Conversations as one table cell each: turns in order, with pipes and newlines escaped."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(": ", "role", F.substring("text", 1, 40)).alias("line"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(": ", "role", "text").alias("line"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: text.markdown_cell(x["line"]))
     return c.groupBy("conv_id").agg(F.array_join(lines, "<br>").alias("cell"))
 
@@ -187,6 +189,10 @@ SELECT doc_id, position, CAST(len(t[position * 28 + 1 : position * 28 + 42]) AS
 WITH c AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') AS canon FROM conversations),
 r AS (SELECT conv_id, coalesce(lag(canon) OVER (PARTITION BY conv_id ORDER BY turn) = canon, false) AS repeats FROM c)
 SELECT conv_id, count(*) AS n_turns, count_if(repeats) AS n_repeats FROM r GROUP BY 1""",
+    "lookback_near_duplicates": f"""
+WITH c AS (SELECT conv_id, turn, list_distinct({_TOKENS}) AS t FROM conversations), p AS (SELECT conv_id, turn, t, [lag(t, 1) OVER w, lag(t, 2) OVER w, lag(t, 3) OVER w] AS b FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+d AS (SELECT conv_id, turn, list_position(list_transform(b, lambda x: x IS NOT NULL AND len(t) > 0 AND 2 * len(list_intersect(t, x)) >= len(t)), true) AS distance FROM p)
+SELECT conv_id, turn, CAST(distance AS INT) AS distance FROM d WHERE distance > 0""",
     "carried_context": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS user_turn FROM conversations",
     "enumeration_headers": """
 SELECT conv_id, turn, coalesce(count(*) OVER w = 3 AND max(length(text)) OVER w < length(text), false) AS header FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)""",
@@ -205,6 +211,6 @@ SELECT l_partkey, l_quantity, CAST(n AS BIGINT) AS packs, round_even(30.0 / (1 +
 WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), r AS (SELECT doc_id, {_RULE} AS rule FROM d)
 SELECT doc_id, rule, CASE rule {" ".join(f"WHEN '{r[0]}' THEN {r[4]}" for r in RULES)} ELSE 0 END AS bonus FROM r""",
     "spoken_codes": "SELECT DISTINCT doc_id, code, regexp_replace(code, '^0{1,9}([0-9])', '\\1') AS bare FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{5,10}')) AS code FROM documents)",
-    "phones_in_documents": "SELECT phone, count(DISTINCT doc_id) AS n_documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '0[1-9][0-9]{8}')) AS phone FROM documents) GROUP BY 1",
-    "markdown_report": "SELECT conv_id, string_agg(replace(replace(role || ': ' || substr(text, 1, 40), '|', '\\|'), chr(10), ' '), '<br>' ORDER BY turn) AS cell FROM conversations GROUP BY 1",
+    "phones_in_documents": "SELECT phone, count(DISTINCT doc_id) AS n_documents FROM (SELECT doc_id, regexp_replace(regexp_replace(unnest(regexp_extract_all(text, '(\+33|0033|0)[ .-]?[1-9]([ .-]?[0-9]{2}){4}')), '[^0-9]', '', 'g'), '^(0033|33)0?', '0') AS phone FROM documents) GROUP BY 1",
+    "markdown_report": "SELECT conv_id, string_agg(replace(replace(role || ': ' || text, '|', '\\|'), chr(10), ' '), '<br>' ORDER BY turn) AS cell FROM conversations GROUP BY 1",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,11 @@ from pyspark.sql import functions as F
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A new folder under spark.checkpoint.dir; only where that is unset (tests), under a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='orderloom-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        base = f"file://{tempfile.mkdtemp(prefix='orderloom-')}"
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -46,36 +51,80 @@ def windowed_counts(stream: DataFrame, at: str, width: str, late: str, keys: lis
     return timed.groupBy(F.window("__at", width).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
+class Outcomes:
+    """What became of items, by key: a folder for each run of a batch, named by batch and retry, of which the last to name a key holds.
+
+    Once `compact_at` folders have come together, what holds is written as one folder (its name ends in c), and those before it go.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, compact_at: int = 32):
+        self.spark, self.path, self.key, self.compact_at = spark, path, key, compact_at
+
+    def _fs(self):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        """Folders that are whole, in order, from the last compact one on."""
+        root, fs = self._fs()
+        if not fs.exists(root):
+            return []
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        found = sorted(s.getPath().getName() for s in fs.listStatus(root) if fs.exists(path(s.getPath(), "_SUCCESS")))
+        compact = [n for n in found if n.endswith("c")]
+        return [n for n in found if not compact or n >= compact[-1]]
+
+    def before(self, name: str | None = None) -> DataFrame | None:
+        """The last outcome of each key, of folders before `name` if there is one."""
+        names = [n for n in self.names() if name is None or n < name]
+        if not names:
+            return None
+        parts = [self.spark.read.parquet(f"{self.path}/{n}").withColumn("__run", F.lit(n)) for n in names]
+        every = reduce(DataFrame.unionByName, parts)
+        values = F.struct(*[c for c in every.columns if c not in (self.key, "__run")])
+        return every.groupBy(self.key).agg(F.max_by(values, "__run").alias("v")).select(self.key, "v.*")
+
+    def write(self, outcome: DataFrame, name: str) -> None:
+        outcome.write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+    def compact(self) -> None:
+        names = self.names()
+        if len(names) < self.compact_at:
+            return
+        self.before().write.parquet(f"{self.path}/{names[-1]}c")
+        root, fs = self._fs()
+        for n in names:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(root, n), True)
+
+
 def run_cycle(spark: SparkSession, source: DataFrame, state_path: str, checkpoint: str, process, key: str) -> DataFrame:
     """A cycle of new items and those that failed before: process(df) adds `ok`, and the outcome of each item is kept.
 
-    Every micro-batch takes the stream's new rows and the failed ones of the state before it, and writes a whole new state
-    under its own number, so that a batch that runs twice leaves one outcome. Returns the last state: the item's columns, ok, attempts.
+    Every micro-batch takes the stream's new rows and what failed before it, and writes the outcomes of those alone under its own number,
+    so that a batch that runs twice leaves one outcome. A cycle without new rows tries the failed ones again all the same. Returns the
+    last outcome of each item: its columns, ok, attempts.
     """
     columns = source.columns
+    outcomes = Outcomes(spark, state_path, key)
+    ran: list[int] = []
 
-    def before(number: int) -> DataFrame | None:
-        jvm = spark._jvm.org.apache.hadoop.fs
-        for n in range(number - 1, -1, -1):
-            p = jvm.Path(f"{state_path}/{n}/_SUCCESS")
-            if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-                return spark.read.parquet(f"{state_path}/{n}")
-        return None
-
-    done: list[int] = []
-
-    def keep(batch: DataFrame, number: int) -> None:
-        fresh = batch.withColumn("attempts", F.lit(0))
-        state = before(number)
-        todo, rest = fresh, None
+    def attempt(fresh: DataFrame, name: str) -> None:
+        state = outcomes.before(name)
         if state is not None:
             again = state.where("not ok").join(fresh, key, "left_anti")
-            todo = fresh.unionByName(again.select(*columns, "attempts"))
-            rest = state.where("ok").join(fresh, key, "left_anti")
-        out = process(todo).withColumn("attempts", F.col("attempts") + 1).select(*columns, "ok", "attempts")
-        (out if rest is None else rest.unionByName(out)).write.mode("overwrite").parquet(f"{state_path}/{number}")
-        done.append(number)
+            fresh = fresh.unionByName(again.select(*columns, "attempts"))
+        outcomes.write(process(fresh).withColumn("attempts", F.col("attempts") + 1).select(*columns, "ok", "attempts"), name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        attempt(batch.withColumn("attempts", F.lit(0)), f"{number:012d}-000000")
+        ran.append(number)
 
     source.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    last = before((max(done) if done else 10_000) + 1)
-    return last if last is not None else spark.createDataFrame([], source.schema).withColumn("ok", F.lit(True)).withColumn("attempts", F.lit(0))
+    nothing = spark.createDataFrame([], source.schema).withColumn("attempts", F.lit(0))
+    names = outcomes.names()
+    if not ran and names and not outcomes.before().where("not ok").isEmpty():
+        number, retry = names[-1].removesuffix("c").split("-")
+        attempt(nothing, f"{number}-{int(retry) + 1:06d}")
+    outcomes.compact()
+    last = outcomes.before()
+    return nothing.withColumn("ok", F.lit(True)).select(*columns, "ok", "attempts") if last is None else last.select(*columns, "ok", "attempts")

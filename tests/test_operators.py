@@ -18,7 +18,9 @@ def column(spark, expression, value, kind="string"):
 def test_number_words(spark):
     for n in (0, 2, 16, 17, 20, 21, 31, 45, 69, 70, 71, 76, 80, 81, 90, 91, 99):
         assert column(spark, extraction.digits_for_words(F.col("t")), f"et {extraction.number_phrase(n)} kilos") == f"et {n} kilos"
-    assert column(spark, extraction.digits_for_words(F.col("t")), "un deux un") == "un 2 un"
+    assert column(spark, extraction.digits_for_words(F.col("t")), "un deux un") == "1 2 1"
+    for said, want in {"deux deux kilos": "2 2 kilos", "un zero zero sept": "1 0 0 7", "une caisse, vingt et un cartons": "1 caisse, 21 cartons", "quatre vingts et soixante et onze": "80 et 71", "quatre vingt dix sept": "97", "soixante dix": "70", "cinq, six.": "5, 6.", "un peu 2.5 kilos": "1 peu 2.5 kilos", "quatre vingt quatre": "84", "": ""}.items():
+        assert column(spark, extraction.digits_for_words(F.col("t")), said) == want, said
 
 
 def test_clauses_and_mentions(spark):
@@ -133,12 +135,25 @@ def test_header_names():
 def test_cycle_tries_failures_again(spark, tmp_path):
     schema = "item string, size long"
     stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    process = lambda df: df.withColumn("ok", (F.col("size") < 10) | (F.col("attempts") >= 1))
+    process = lambda df: df.withColumn("ok", (F.col("size") < 10) | (F.col("attempts") >= 2))
     spark.createDataFrame([("a", 1), ("b", 20)], schema).coalesce(1).write.json(str(tmp_path / "in"))
     run = lambda: jobs.run_cycle(spark, stream(), str(tmp_path / "state"), str(tmp_path / "check"), process, "item")
     assert sorted((r["item"], r.ok, r.attempts) for r in run().collect()) == [("a", True, 1), ("b", False, 1)]
+    assert sorted((r["item"], r.ok, r.attempts) for r in run().collect()) == [("a", True, 1), ("b", False, 2)]  # nothing new came
     spark.createDataFrame([("c", 2)], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    assert sorted((r["item"], r.ok, r.attempts) for r in run().collect()) == [("a", True, 1), ("b", True, 2), ("c", True, 1)]
+    assert sorted((r["item"], r.ok, r.attempts) for r in run().collect()) == [("a", True, 1), ("b", True, 3), ("c", True, 1)]
+
+
+def test_outcomes_are_compacted(spark, tmp_path):
+    path = str(tmp_path / "state")
+    outcomes = jobs.Outcomes(spark, path, "item", compact_at=3)
+    assert outcomes.before() is None
+    for number in range(10_001, 10_006):
+        rows = [("a", number), (f"own {number}", number)]
+        outcomes.write(spark.createDataFrame(rows, "item string, size long").coalesce(1), f"{number:012d}-000000")
+        outcomes.compact()
+    assert len(outcomes.names()) == 1
+    assert sorted(map(tuple, outcomes.before().collect())) == [("a", 10_005), *((f"own {n}", n) for n in range(10_001, 10_006))]
 
 
 def test_windows_of_a_stream(spark, tmp_path):
