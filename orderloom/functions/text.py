@@ -28,7 +28,8 @@ SOUNDS = (("eau", "o"), ("au", "o"), ("ph", "f"), ("qu", "k"), ("c", "k"), ("y",
 
 
 def strip_accents(text: Column) -> Column:
-    return F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), ACCENTED, BARE)
+    """Letters without their marks. A text of ASCII alone, of as many bytes as letters, is left as it is."""
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), ACCENTED, BARE))
 
 
 def canonical(text: Column) -> Column:

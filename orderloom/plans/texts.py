@@ -211,6 +211,6 @@ SELECT l_partkey, l_quantity, CAST(n AS BIGINT) AS packs, round_even(30.0 / (1 +
 WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), r AS (SELECT doc_id, {_RULE} AS rule FROM d)
 SELECT doc_id, rule, CASE rule {" ".join(f"WHEN '{r[0]}' THEN {r[4]}" for r in RULES)} ELSE 0 END AS bonus FROM r""",
     "spoken_codes": "SELECT DISTINCT doc_id, code, regexp_replace(code, '^0{1,9}([0-9])', '\\1') AS bare FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{5,10}')) AS code FROM documents)",
-    "phones_in_documents": "SELECT phone, count(DISTINCT doc_id) AS n_documents FROM (SELECT doc_id, regexp_replace(regexp_replace(unnest(regexp_extract_all(text, '(\+33|0033|0)[ .-]?[1-9]([ .-]?[0-9]{2}){4}')), '[^0-9]', '', 'g'), '^(0033|33)0?', '0') AS phone FROM documents) GROUP BY 1",
+    "phones_in_documents": "SELECT phone, count(DISTINCT doc_id) AS n_documents FROM (SELECT doc_id, regexp_replace(regexp_replace(unnest(regexp_extract_all(text, '(\\+33|0033|0)[ .-]?[1-9]([ .-]?[0-9]{2}){4}')), '[^0-9]', '', 'g'), '^(0033|33)0?', '0') AS phone FROM documents) GROUP BY 1",
     "markdown_report": "SELECT conv_id, string_agg(replace(replace(role || ': ' || text, '|', '\\|'), chr(10), ' '), '<br>' ORDER BY turn) AS cell FROM conversations GROUP BY 1",
 }

@@ -1,10 +1,13 @@
+import functools
 import io
+import re
 import zipfile
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from orderloom.operators import decisions, extraction, linkage, profiles, queue
+from orderloom.operators import decisions, extraction, linkage, matching, profiles, queue
 from orderloom.sources import sinks, tables, xlsx
 from orderloom.streaming import jobs
 
@@ -163,3 +166,41 @@ def test_windows_of_a_stream(spark, tmp_path):
     query = counts.writeStream.format("memory").queryName("windowed").outputMode("complete").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r.kind, r.n) for r in spark.table("windowed").collect()) == [("0", 5), ("0", 7), ("0", 12), ("1", 5), ("1", 7), ("1", 12)]
+
+
+@pytest.mark.parametrize(("said", "listed", "score"), [("miels", "miel", 100.0), ("mozza", "mozzarella", 100.0), ("cart", "carton", 80.0), ("jus", "ju", 80.0), ("chocolat", "kocolat", 100.0), ("faro", "phareau", 100.0), ("abc", "xyz", 0.0), ("riz", "rizs", 600 / 7)])
+def test_scores_of_words(said, listed, score):
+    assert matching.token_score(said, listed) == pytest.approx(score)
+
+
+@pytest.mark.parametrize(("said", "listed", "score"), [("red ring", "large red ring", 95.91), ("ring", "ring plate", 93.57), ("", "ring", 0.0), ("jambon", "epaule cuite", None), ("glace vanille", "glace vanille 5 l", 100.0)])
+def test_scores_of_products(said, listed, score):
+    got = matching.product_score(said.split(), listed.split())
+    assert got == pytest.approx(score) if score is not None else got < 0
+
+
+def test_product_search_against_a_full_scan(spark, sf):
+    from orderloom.plans import messages
+
+    got = messages.message_product_matches(spark, sf).collect()
+    tables_of = {t: spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("lineitem", "orders", "part")}
+    name, client = {r.p_partkey: r.p_name for r in tables_of["part"]}, {r.o_orderkey: r.o_custkey for r in tables_of["orders"]}
+    bought, truth = defaultdict(set), {}
+    for r in tables_of["lineitem"]:
+        if r.l_partkey in name and r.l_orderkey in client:
+            bought[client[r.l_orderkey]].add(name[r.l_partkey])
+            first, _, rest = name[r.l_partkey].partition(" ")
+            kind, whole = r.l_partkey % 4, name[r.l_partkey]
+            said = [whole, whole + "s", first[:-1] + " " * bool(rest) + rest, re.sub("^(.*)([lnrt])", r"\1\2\2", whole)][kind]
+            truth.setdefault((client[r.l_orderkey], said), set()).add(whole)
+    assert {(r.o_custkey, r.said) for r in got} == truth.keys()
+    first = {(r.o_custkey, r.said): r.p_name for r in got if r.rank == 1}
+    assert sum(first[k] in v for k, v in truth.items()) > 0.98 * len(truth)
+    score = functools.cache(lambda a, b: matching.product_score(a.split(), b.split()))
+    want = {k: sorted(((-score(k[1], x), x) for x in bought[k[0]] if score(k[1], x) >= 35))[:3] for k in truth}
+    have = defaultdict(list)
+    for r in sorted(got, key=lambda r: r.rank):
+        have[r.o_custkey, r.said].append((-r.score, r.p_name))
+    hits = sum(len(set(have[k]) & set(v)) for k, v in want.items())
+    assert hits >= 0.95 * sum(map(len, want.values()))
+    assert all(have[k][0] == v[0] for k, v in want.items() if v[0][0] <= -88)
