@@ -24,7 +24,10 @@ ACCENTED, BARE = _accent_pairs()
 #: Words that carry no identity in a name.
 GENERIC = ("boulangerie", "boucherie", "charcuterie", "epicerie", "restaurant", "traiteur", "hotel", "bar", "cafe", "sarl", "sas", "sa", "eurl", "le", "la", "les", "l", "du", "de", "des", "d", "et", "au", "aux", "chez", "ets")
 #: Replacements of the name key, in order.
-SOUNDS = (("eau", "o"), ("au", "o"), ("ph", "f"), ("qu", "k"), ("c", "k"), ("y", "i"), ("h", ""))
+SOUNDS = (("eau", "o"), ("au", "o"), ("ph", "f"), ("qu", "k"), ("ck", "k"), ("ch", "sh"), ("y", "i"), ("q", "k"), ("c", "k"), ("z", "s"), ("h", ""))
+#: Words of a client's name that carry no identity; words of a call that a name key leaves out.
+NAME_GENERIC = ("le", "la", "les", "de", "du", "des", "d", "au", "aux", "a", "l", "restaurant", "resto", "hotel", "bar", "brasserie", "bistrot", "sarl", "sas", "sasu", "eurl", "societe", "appareil")
+CALL_WORDS = ("bonjour", "bonsoir", "salut", "c", "est", "chez", "pour", "commande", "aujourd", "hui", "demain")
 
 
 def strip_accents(text: Column) -> Column:
@@ -68,18 +71,18 @@ def root(token: Column) -> Column:
 
 
 def single_letters(text: Column) -> Column:
-    """Doubled letters as one."""
-    return F.regexp_replace(text, r"([a-z])\1+", "$1")
+    """Repeated characters as one."""
+    return F.regexp_replace(text, r"(.)\1+", "$1")
 
 
 def name_key(text: Column) -> Column:
-    """A phonetic key: generic words dropped, the rest joined, sounds replaced in order, doubled letters as one."""
-    joined = F.array_join(without(tokens(text)), "")
+    """A phonetic key: generic words and words of a call dropped, the rest joined, sounds replaced in order, repeated characters as one."""
+    joined = F.array_join(without(tokens(text), NAME_GENERIC + CALL_WORDS), "")
     return single_letters(reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), SOUNDS, joined))
 
 
 def consonant_key(text: Column) -> Column:
-    return F.regexp_replace(F.replace(name_key(text), F.lit("ts"), F.lit("s")), "[aeiouy]", "")
+    return F.regexp_replace(F.replace(name_key(text), F.lit("ts"), F.lit("s")), "[aeiou]", "")
 
 
 def reference_slug(text: Column, prefix: str = "NC-") -> Column:

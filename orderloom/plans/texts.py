@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import numbers, similarity, text
 from ..operators import linkage
 from ..sources.tables import table
+from . import ratios
 
 #: Rules as (name, all of, any of, none of, bonus).
 RULES = [("the", ["the"], [], [], 10), ("that and", ["that", "and"], [], ["est"], 25), ("le or la", [], ["le", "la"], ["the"], 40), ("und", ["und"], ["die", "der"], [], 55), ("que", ["que"], [], ["le"], 30)]
@@ -98,7 +99,12 @@ def token_set_pairs(spark, sf_dir):
 
 def partial_ratio_pairs(spark, sf_dir):
     a, b = F.col("p_name"), F.col("other")
-    return _name_pairs(spark, sf_dir).select("p_name", "other", F.bround(similarity.partial_ratio(a, b), 4).alias("partial"), F.bround(similarity.matching_ratio(a, b), 4).alias("matching"))
+    return _name_pairs(spark, sf_dir).select("p_name", "other", F.bround(similarity.partial_ratio(a, b), 4).alias("partial"))
+
+
+def matching_ratio_pairs(spark, sf_dir):
+    """No SQL: which matching blocks count depends on how the longest one splits the texts, step by step."""
+    return _name_pairs(spark, sf_dir).select("p_name", "other", F.bround(similarity.matching_ratio(F.col("p_name"), F.col("other")), 4).alias("matching"))
 
 
 def blocked_product_search(spark, sf_dir, limit: int = 9):
@@ -157,7 +163,7 @@ def markdown_report(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.array_join(lines, "<br>").alias("cell"))
 
 
-QUERIES = {f.__name__: f for f in (normalized_documents, token_document_frequency, hotwords_topk, overlapping_word_windows, adjacent_repeats, lookback_near_duplicates, carried_context, enumeration_headers, name_phonetic_keys, indel_ratio_pairs, token_set_pairs, partial_ratio_pairs, blocked_product_search, packaging_quantity, rule_bonus_match, spoken_codes, phones_in_documents, markdown_report)}
+QUERIES = {f.__name__: f for f in (normalized_documents, token_document_frequency, hotwords_topk, overlapping_word_windows, adjacent_repeats, lookback_near_duplicates, carried_context, enumeration_headers, name_phonetic_keys, indel_ratio_pairs, token_set_pairs, partial_ratio_pairs, matching_ratio_pairs, blocked_product_search, packaging_quantity, rule_bonus_match, spoken_codes, phones_in_documents, markdown_report)}
 
 _CANON = "trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g'))"
 _TOKENS = f"list_filter(string_split({_CANON}, ' '), lambda x: x <> '')"
@@ -167,11 +173,12 @@ _RULE = "CASE " + " ".join("WHEN " + " AND ".join([f"list_contains(t, '{w}')" fo
 
 
 def _key(col: str) -> str:
-    out = f"array_to_string(list_filter(string_split({col}, ' '), lambda x: x <> '' AND NOT list_contains({_GENERIC}, x)), '')"
+    unnamed = "[" + ", ".join(f"'{w}'" for w in text.NAME_GENERIC + text.CALL_WORDS) + "]"
+    out = f"array_to_string(list_filter(string_split({col}, ' '), lambda x: x <> '' AND NOT list_contains({unnamed}, x)), '')"
     for a, b in text.SOUNDS:
         out = f"replace({out}, '{a}', '{b}')"
-    for c in "abcdefghijklmnopqrstuvwxyz":
-        out = f"regexp_replace({out}, '{c}+', '{c}', 'g')" if c in "abdefgijklmnoprstuvwxz" else out
+    for c in "abcdefghijklmnopqrstuvwxyz0123456789":
+        out = f"regexp_replace({out}, '{c}+', '{c}', 'g')"
     return out
 
 
@@ -196,7 +203,22 @@ SELECT conv_id, turn, CAST(distance AS INT) AS distance FROM d WHERE distance >
     "carried_context": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS user_turn FROM conversations",
     "enumeration_headers": """
 SELECT conv_id, turn, coalesce(count(*) OVER w = 3 AND max(length(text)) OVER w < length(text), false) AS header FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)""",
-    "name_phonetic_keys": f"SELECT p_name, {_key('p_name')} AS name_key, regexp_replace(replace({_key('p_name')}, 'ts', 's'), '[aeiouy]', '', 'g') AS consonants FROM (SELECT DISTINCT p_name FROM part)",
+    "name_phonetic_keys": f"SELECT p_name, {_key('p_name')} AS name_key, regexp_replace(replace({_key('p_name')}, 'ts', 's'), '[aeiou]', '', 'g') AS consonants FROM (SELECT DISTINCT p_name FROM part)",
+    "indel_ratio_pairs": f"WITH {_PAIRS} SELECT p_name, other, round_even({ratios.indel('p_name', 'other')}, 4) AS ratio FROM pairs",
+    "token_set_pairs": f"""
+WITH {_PAIRS}, d AS (SELECT p_name, other, list_sort(list_intersect(a, b)) AS common, list_sort(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS only_a, list_sort(list_filter(list_distinct(b), lambda x: NOT list_contains(a, x))) AS only_b,
+ array_to_string(list_sort(a), ' ') AS sorted_a, array_to_string(list_sort(b), ' ') AS sorted_b FROM pairs),
+w AS (SELECT *, array_to_string(common, ' ') AS base, trim(array_to_string(list_concat(common, only_a), ' ')) AS wa, trim(array_to_string(list_concat(common, only_b), ' ')) AS wb FROM d)
+SELECT p_name, other, round_even(CASE WHEN len(only_a) = 0 OR len(only_b) = 0 THEN 100.0 ELSE greatest({ratios.indel('wa', 'wb')}, 200.0 * length(base) / (length(base) + length(wa)), 200.0 * length(base) / (length(base) + length(wb))) END, 4) AS set_ratio,
+ round_even({ratios.indel('sorted_a', 'sorted_b')}, 4) AS sort_ratio FROM w""",
+    "partial_ratio_pairs": f"""
+WITH {_PAIRS}, s AS (SELECT p_name, other, CASE WHEN length(p_name) <= length(other) THEN p_name ELSE other END AS short, CASE WHEN length(p_name) <= length(other) THEN other ELSE p_name END AS long FROM pairs),
+w AS (SELECT *, unnest(list_transform(range(1 - length(short), length(long)), lambda i: substr(long, 1 + greatest(i, 0), length(short) + least(i, 0)))) AS cut FROM s)
+SELECT p_name, other, round_even(max({ratios.indel('short', 'cut')}), 4) AS partial FROM w GROUP BY ALL""",
+    "lookback_near_duplicates": f"""
+WITH t AS (SELECT conv_id, turn, list_distinct({_TOKENS}) AS t FROM conversations), l AS (SELECT *, lag(t, 1) OVER w AS a, lag(t, 2) OVER w AS b, lag(t, 3) OVER w AS c FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+d AS (SELECT conv_id, turn, CASE WHEN 2 * len(list_intersect(t, a)) >= len(t) AND len(t) > 0 AND a IS NOT NULL THEN 1 WHEN 2 * len(list_intersect(t, b)) >= len(t) AND len(t) > 0 AND b IS NOT NULL THEN 2 WHEN 2 * len(list_intersect(t, c)) >= len(t) AND len(t) > 0 AND c IS NOT NULL THEN 3 END AS distance FROM l)
+SELECT * FROM d WHERE distance IS NOT NULL""",
     "blocked_product_search": """
 WITH s AS (SELECT p_type, p_brand, p_name, max(round_even(0.7 * p_size + 1.5 * ln(1 + coalesce(n, 0)), 4)) AS score FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON p_partkey = l_partkey GROUP BY ALL),
 d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY p_type, p_name ORDER BY score DESC, p_brand) = 1),
