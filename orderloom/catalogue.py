@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import compare, event_time, history, messages, queues, records, texts
+from .plans import clients, compare, event_time, history, messages, queues, records, texts
 
 FLAGSHIP = "client_article_profile"
-MODULES = (history, compare, texts, queues, messages, event_time, records)
+MODULES = (history, compare, texts, queues, messages, event_time, records, clients)
 
 
 def queries() -> dict:
