@@ -33,6 +33,25 @@ def default_delivery_date(at: Column) -> Column:
     return F.when(F.hour(at) < 6, day).otherwise(F.date_add(day, 1))
 
 
+def delivery_date(text: Column, day: Column, hour: Column) -> Column:
+    """The delivery date of a message of `day` with canonical `text`: the named one, else a default.
+
+    Before six the night belongs to the day before, from which relative words count; the default then is the day itself, later the day
+    after, and the day itself where the hour is not known.
+    """
+    night = F.coalesce(hour < 6, F.lit(False))
+    named = named_delivery_date(text, F.when(night, F.date_sub(day, 1)).otherwise(day))
+    return F.coalesce(named, F.when(night | hour.isNull(), day).otherwise(F.date_add(day, 1)))
+
+
+def delivery_reason(text: Column, day: Column, hour: Column) -> Column:
+    """Where delivery_date has its date from: named, or which default."""
+    return (
+        F.when(named_delivery_date(text, day).isNotNull(), "named").when(hour.isNull(), "hour unknown").when(hour < 6, "before six")
+        .when(hour >= 22, "after ten").otherwise("next day")
+    )
+
+
 def business_night(at: Column) -> Column:
     """The evening that a time of 22:00 to 01:59 belongs to; null at other times."""
     day = F.to_date(at)

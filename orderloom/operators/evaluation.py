@@ -87,3 +87,42 @@ def substitutions(truth: DataFrame, predicted: DataFrame, order: str, code: str,
         F.count_if(gap > 0).alias("fn"), F.count_if(gap < 0).alias("fp"), F.min(F.when(gap > 0, F.col(code))).alias("missing"), F.min(F.when(gap < 0, F.col(code))).alias("extra")
     )
     return per.where("fn = 1 and fp = 1").groupBy("extra", "missing").agg(F.count("*").alias("support")).where(F.col("support") >= least)
+
+
+def order_causes(truth: DataFrame, predicted: DataFrame, heads: DataFrame, candidates: DataFrame, order: str, code: str, quantity: str, unit: str) -> DataFrame:
+    """One row a head: client_correct, date_correct, lines_exact, automation_exact and the sorted causes of what is wrong.
+
+    `heads` has truth_client, predicted_client, truth_date, predicted_date, status, error and n_products (null for orders without a
+    prediction); `candidates` the codes that the search had for an order. Lines are compared in three ways, whole, by quantity and by
+    unit, laid out as rows of one table, so that one aggregate by order and code serves all of them.
+    """
+    whole = F.concat_ws("\u0001", F.coalesce(F.col(quantity).cast("string"), F.lit("\u0002")), F.coalesce(F.col(unit), F.lit("\u0002")))
+    facets = F.explode(F.array(*[F.struct(F.lit(n).alias("facet"), v.alias("value")) for n, v in (("line", whole), ("quantity", F.col(quantity).cast("string")), ("unit", F.col(unit)))]))
+    laid = lambda df: df.select(order, code, facets.alias("f")).select(order, code, "f.*")
+    gaps = aligned_counts(laid(truth), laid(predicted), [order, code, "facet", "value"])
+    differs = lambda facet: F.max((F.col("facet") == facet) & (F.col("n_truth") != F.col("n_predicted")))
+    of_line = lambda n: F.sum(F.when(F.col("facet") == "line", F.col(n)).otherwise(0))
+    by_code = gaps.groupBy(order, code).agg(of_line("n_truth").alias("t"), of_line("n_predicted").alias("p"), differs("line").alias("lines"), differs("quantity").alias("q"), differs("unit").alias("u"))
+    known = candidates.select(order, code).distinct().withColumn("known", F.lit(True))
+    both = (F.col("t") > 0) & (F.col("p") > 0)
+    per = by_code.join(known, [order, code], "left").groupBy(order).agg(
+        F.sum("t").alias("n_truth"), F.max("lines").alias("differs"), F.max(F.col("t") > F.col("p")).alias("missing"), F.max(F.col("p") > F.col("t")).alias("extra"),
+        F.max((F.col("t") > F.col("p")) & F.col("known").isNotNull()).alias("ranked"), F.max(both & F.col("q")).alias("q"), F.max(both & F.col("u")).alias("u"),
+    )
+    rows = heads.join(per, order, "left")
+    said = lambda c: F.coalesce(F.col(c), F.lit(False))
+    named = F.coalesce(F.col("predicted_client"), F.lit("")) != ""
+    client = named & F.col("truth_client").eqNullSafe(F.col("predicted_client"))
+    dated = F.col("truth_date").isNull() | F.col("truth_date").eqNullSafe(F.col("predicted_date"))
+    exact = (F.coalesce("n_truth", F.lit(0)) > 0) & ~said("differs")
+    accepted = F.coalesce(F.upper("status") == "VALIDEE", F.lit(False))
+    absent = F.col("n_products").isNull() | (F.coalesce(F.col("error"), F.lit("")) != "")
+    fewer = F.coalesce("n_products", F.lit(0)) < F.coalesce("n_truth", F.lit(0))
+    # fixed values: the names of the causes
+    causes = [
+        (absent, "prediction_absente_ou_erreur"), (~named, "client_non_reconnu"), (named & ~client, "mauvais_client"), (~dated, "date_livraison"), (said("ranked"), "classement_produit"),
+        (said("missing") & ~said("ranked") & fewer, "segmentation_ou_asr"), (said("missing") & ~said("ranked") & ~fewer, "recherche_candidat"), (said("extra"), "faux_produit"),
+        (said("q"), "quantite"), (said("u"), "unite_conditionnement"), (client & exact & ~accepted, "rejet_interne_d_une_commande_correcte"),
+    ]
+    found = F.array_sort(F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in causes]), lambda x: x.isNotNull()))
+    return rows.select(order, client.alias("client_correct"), dated.alias("date_correct"), exact.alias("lines_exact"), (client & exact & dated & accepted).alias("automation_exact"), found.alias("causes"))
