@@ -61,5 +61,5 @@ def xlsx_rows(spark: SparkSession, path: str) -> DataFrame:
 def with_header(rows: DataFrame, names: list[str]) -> DataFrame:
     """Rows of xlsx_rows() as columns: each file's first row is its header, by which the named columns are found; missing ones are null."""
     header = rows.where("row = 0").select("path", F.col("cells").alias("header"))
-    joined = rows.where("row > 0").join(F.broadcast(header), "path")  # one row a file
+    joined = rows.where("row > 0").join(header, "path")  # one row a file: the planner broadcasts it where that is small
     return joined.select("path", "row", *[F.get("cells", (F.array_position("header", n) - 1).cast("int")).alias(n) for n in names])
