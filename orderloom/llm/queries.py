@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, html_extract, katz, line_dedup, mixing, quality, simhash, url_filter, warc
+from . import decontam, exact_dedup, filter_audit, fim, html_extract, katz, line_dedup, mixing, quality, simhash, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_quality": quality.op9_quality,
         "op10_warc": warc.op10_warc,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL, "op10_warc": warc.SQL}
+    return {"op5_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL, "op10_warc": warc.SQL, "op11_fill_in_middle": fim.SQL, "op13_filter_audit": filter_audit.SQL}
