@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, filter_audit, fim, html_extract, katz, line_dedup, mixing, quality, simhash, url_filter, warc
+from . import decontam, exact_dedup, filter_audit, fim, html_extract, katz, line_dedup, mixing, quality, simhash, substring_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_quality": quality.op9_quality,
         "op10_warc": warc.op10_warc,
         "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_substring_dedup": substring_dedup.op12_substring_dedup,
         "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL, "op10_warc": warc.SQL, "op11_fill_in_middle": fim.SQL, "op13_filter_audit": filter_audit.SQL}
+    return {"op5_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL, "op10_warc": warc.SQL, "op11_fill_in_middle": fim.SQL, "op12_substring_dedup": substring_dedup.SQL, "op13_filter_audit": filter_audit.SQL}
