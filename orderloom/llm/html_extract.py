@@ -5,11 +5,16 @@ from them its composite density: characters per tag, weighed by the share of tex
 body without any link has nothing to weigh by: characters per tag alone). A block's density sum adds up the densities of the
 blocks and loose texts right below it; a block that holds no others has its own density. The lowest density on the path
 from the block of the largest sum up to the body is the threshold, and every block at or above it gives its subtree of
-the largest sum: these, in page order, are the main text, each with the heading that stands right before it. What is never
-content (menus, forms, scripts, adverts, comments and the like) leaves the tree before that. Elements inside a line are
-tags, and links, but no subtrees to choose, as that would cut a block in two. The tags article and main are blocks as
-others are. Pages are apart from each other, so this is one Arrow function over a column: no shuffle. Every step takes time
-in proportion to the page, whatever is unclosed in it.
+the largest sum, unless that sum is below SHARE of the largest: these, in page order, are the main text, each with the heading
+that stands right before it. Elements inside a line are tags, and links, but no subtrees to choose, as that would cut a block in two.
+The tags article and main are blocks as others are.
+
+Tags and names (of class, id and role) only help: blocks in an element that they mark as a menu, comments or the like count
+MARKED of their sums when the block of the largest sum is first looked for. What that block stands in, and what holds MOST of the
+page's text, is not marked after all, if it has LEAST characters outside links; the other marked elements leave the tree,
+and densities are taken anew. A name is judged by the word that it ends in (reader-comments, not comments-open).
+Pages are apart from each other, so this is one Arrow function over a column: no shuffle. Every step takes time in
+proportion to the page, whatever is unclosed in it.
 """
 
 from __future__ import annotations
@@ -25,17 +30,23 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Elements without an end tag, those whose content is not markup, those never content, those that break a line.
+#: A block beside the block of the largest sum has at least this share of that sum.
+SHARE = 0.25
+#: What a sum counts for in a marked element; the share of the page's text, and the characters outside links, from which marks say nothing.
+MARKED, MOST, LEAST = 0.1, 0.9, 200
+#: Elements without an end tag, those whose content is not markup, those that show no text, those that mostly are not content, those that break a line.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style textarea title noscript iframe xmp noembed noframes template svg math".split()
-NEVER = set("nav header footer aside form script style textarea title noscript iframe template svg math head button select option menu dialog object canvas audio video map label fieldset input datalist".split())
+NEVER = set("script style textarea title noscript iframe template svg math head button select option object canvas audio video map label input datalist".split())
+ASIDE = set("nav header footer aside form menu dialog fieldset".split())
 BLOCK = set("address article blockquote body dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption center".split())
-#: Words of class, id and role that mark what is not the article.
+#: Words of class, id and role that mark what mostly is not the article; words behind them that say nothing.
 MARKS = set(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget related recommended recommendations trending footer header masthead toolbar topbar social share sharing comment comments disqus respond reply replies "
     "complementary contentinfo search".split()
 )
+FRAME = set("container wrapper wrap box inner outer area section block list bar panel group item items link links slot unit zone row col column holder module component content body main top bottom left right text title form".split())
 #: Words by which a class says what its element goes with, not what it is.
 ABOUT = {"with", "without", "has", "no"}
 #: End tags that a start tag implies.
@@ -53,30 +64,40 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "parent", "sum", "tag", "tags", "text", "top")
+    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "marked", "parent", "sum", "tag", "tags", "text", "top")
 
     def __init__(self, tag: str, parent: _Node | None, text: str | None = None):
         self.tag, self.parent, self.kids, self.text, self.top = tag, parent, [], text, self
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.marked = False
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    """Whether an element is one of those that are never content."""
-    if tag in NEVER:
-        return True
-    if not attributes or tag in ("body", "html"):
-        return False
-    whole = tag in ("article", "main")  # those only by a name that is a mark and nothing else
+def _hidden(attributes: str) -> bool:
     for name, *values in _ATTR.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return True
-        if name in ("class", "id", "role"):
-            for token in value.split():
-                words = {token.lower()} if whole else {w.lower() for w in _WORD.findall(token)}
-                if words & MARKS and not words & ABOUT:
-                    return True
+    return False
+
+
+def _marked(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element's tag or a name of it says that it mostly is not content. An article's own header is content."""
+    if tag in ASIDE and not (tag == "header" and in_article):
+        return True
+    if not attributes or tag in ("body", "html"):
+        return False
+    for name, *values in _ATTR.findall(attributes):
+        if name.lower() not in ("class", "id", "role"):
+            continue
+        for token in "".join(values).split():
+            words = [w.lower() for w in _WORD.findall(token)]
+            if tag in ("article", "main"):  # those only by a name that is a mark and nothing else
+                words = words if len(words) == 1 else []
+            while len(words) > 1 and words[-1] in FRAME:
+                words.pop()
+            if words and words[-1] in MARKS and not ABOUT & set(words):
+                return True
     return False
 
 
@@ -123,7 +144,7 @@ def _pieces(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _tree(page: str) -> _Node:
-    """The tree of elements and texts, without what is never content. End tags that fit nothing open are passed over.
+    """The tree of elements and texts, without those that show none. End tags that fit nothing open are passed over.
 
     Where elements of a name are open is kept in a list for each name, so that an end tag finds its element at once.
     """
@@ -152,22 +173,28 @@ def _tree(page: str) -> _Node:
                     close(open_at)
             node = _Node(name, path[-1])
             path[-1].kids.append(node)
-            if _marked(name, attributes):
+            if name in NEVER or _hidden(attributes):
                 left_out.append(node)
                 if attributes.endswith("/"):
                     continue
+            node.marked = _marked(name, attributes, bool(at_tag.get("article") or at_tag.get("main")))
             if name not in VOID:
                 at_tag.setdefault(name, []).append(len(path))
                 if name in SCOPE:
                     scopes.append(len(path))
                 path.append(node)
     for node in left_out:
-        node.kids = []
-        if node.tag not in BLOCK:
-            node.tag, node.text = "#", ""
+        _empty(node)
     return root
 
 
+def _empty(node: _Node) -> None:
+    """The element stays as a place between texts, and as a block if it is one."""
+    node.kids = []
+    if node.tag not in BLOCK:
+        node.tag, node.text = "#", ""
+
+
 def composite(chars: int, tags: int, link_chars: int, link_tags: int, whole: float) -> float:
     """Composite text density; whole: the body's share of characters in links. Counts of nothing are taken for one."""
     if not chars:
@@ -184,6 +211,7 @@ def _measure(root: _Node) -> list[_Node]:
     order = [root]
     for node in order:
         order.extend(node.kids)
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
     for node in reversed(order):
         if node.text is not None:
             node.chars = len(node.text) - sum(map(node.text.count, " \t\n\r"))
@@ -213,8 +241,33 @@ def _measure(root: _Node) -> list[_Node]:
     return found
 
 
+def _without_marked(root: _Node) -> None:
+    """Empty what is marked, but for what the text says is the main text all the same."""
+    blocks = _measure(root)
+    inside, marked, best, most = set(), [], None, 0.0
+    for n in blocks:  # parents before children
+        if n.marked or n.parent is not None and id(n.parent) in inside:
+            inside.add(id(n))
+        if n.chars and (weighed := n.sum * (MARKED if id(n) in inside else 1.0)) > most:
+            best, most = n, weighed
+    holding = set()
+    while best is not None:
+        holding.add(id(best))
+        best = best.parent
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        if n.marked and not (n.chars - n.link_chars >= LEAST and (id(n) in holding or n.chars >= MOST * root.chars)):
+            marked.append(n)
+        else:
+            stack.extend(n.kids)
+    for n in marked:
+        _empty(n)
+
+
 def _main(root: _Node) -> list[_Node]:
     """The blocks of the main text, in page order."""
+    _without_marked(root)
     blocks = [n for n in _measure(root) if n.chars]
     if not blocks:
         return []
@@ -222,7 +275,8 @@ def _main(root: _Node) -> list[_Node]:
     while at is not None:
         threshold = min(threshold, at.density)
         at = at.parent
-    chosen = {id(n.top): n.top for n in blocks if n.density >= threshold and n.density > 0} or {id(root): root}
+    least = SHARE * root.top.sum
+    chosen = {id(n.top): n.top for n in blocks if n.density >= threshold and n.density > 0 and n.top.sum >= least} or {id(root): root}
     holding = set(chosen)
     for n in chosen.values():
         while (n := n.parent) is not None and id(n) not in holding:
@@ -288,10 +342,11 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without html_col, with text and n_chars (code points).
 
     Null, empty and text-free pages give an empty text. Unclosed and misplaced tags are borne; pages of any length and
-    depth are read whole. Rows that repeat are extracted each; columns of pages named text or n_chars give way. An empty
-    table gives an empty result.
+    depth are read whole. What leaves by a tag or a name has less than LEAST characters outside links, or neither the block
+    of the largest weighed sum nor MOST of the text. Rows that repeat are extracted each; columns of pages named text or n_chars,
+    in any case of letters, give way. An empty table gives an empty result.
     """
-    kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    kept = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
     return pages.select(*kept, extracted(F.col(html_col)).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

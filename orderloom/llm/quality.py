@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 _TOKEN = regex.compile(r"\w+|[^\w\s]+", regex.V1)
 BUCKETS = 1 << 18
@@ -181,30 +181,36 @@ def _kth(keys: DataFrame, k: int) -> int | None:
     return top
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: list[str] | None = None, keep: float = 1.02, temperature: float = 1.0, seed: int = 9, **fitting) -> DataFrame:
-    """The columns `keep_columns` of docs with __weight (log importance weight), __target (the probability of being target), __key and __kept; written once."""
+#: What judged() adds: log importance weight, probability of being target, key of the draw, whether it is drawn.
+JUDGED = ("weight", "target", "key", "kept")
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: list[str] | None = None, keep: float = 1.02, temperature: float = 1.0, seed: int = 9, **fitting) -> tuple[DataFrame, list[str]]:
+    """The columns `keep_columns` of docs with those of JUDGED, written once; and the names that these got, none of which clashes with one of docs."""
     columns = keep_columns or [id_col]
+    hash_at, ratio_at, fixed_at, *names = fresh(docs, "hash", "ratios", "fixed", *JUDGED)
+    weight_at, target_at, key_at, kept_at = names
     model = fit(docs, labels, id_col, text_col, **fitting)
-    hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("__hash")
+    hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias(hash_at)
     ratio = log_ratios(F.col(text_col), model) if model.sample.sum() else F.array(*[F.lit(0.0)] * len(PARTS))
-    scored = materialize(docs.select(*columns, hashed, ratio.alias("__s")), "weights")
+    scored = materialize(docs.select(*columns, hashed, ratio.alias(ratio_at)), "weights")
 
-    cell = [F.bround(F.least(F.greatest(F.col("__s")[j], F.lit(-LIMIT)), F.lit(LIMIT)) / STEP) * STEP for j in range(len(PARTS))]
+    cell = [F.bround(F.least(F.greatest(F.col(ratio_at)[j], F.lit(-LIMIT)), F.lit(LIMIT)) / STEP) * STEP for j in range(len(PARTS))]
     share = np.array([1.0] + [0.0] * len(PARTS))
     if model.sample.sum():
         cells = scored.groupBy(*[c.alias(p) for c, p in zip(cell, PARTS, strict=True)]).agg(F.count("*").alias("n")).collect()  # (2 LIMIT / STEP + 1) ** 2 at most
         share = shares(sorted(map(tuple, cells)), model.sample)
     # 1 / weight = share of target + sum of share_j * ratio_j; the exponent stays where doubles hold it
-    over = sum((F.lit(float(w)) * F.exp(F.least(F.col("__s")[j], F.lit(600.0))) for j, w in enumerate(share[1:])), F.lit(float(share[0])))
+    over = sum((F.lit(float(w)) * F.exp(F.least(F.col(ratio_at)[j], F.lit(600.0))) for j, w in enumerate(share[1:])), F.lit(float(share[0])))
     weight = -F.log(over)
-    uniform = (F.shiftrightunsigned("__hash", 11).cast("double") + 0.5) / float(1 << 53)
+    uniform = (F.shiftrightunsigned(hash_at, 11).cast("double") + 0.5) / float(1 << 53)
     key = weight / temperature - F.log(-F.log(uniform))
     fixed = F.floor(F.least(F.greatest(key, F.lit(-1000.0)), F.lit(1000.0)) * float(1 << FRACTION))
     target = F.lit(float(share[0])) / over
-    scored = scored.select(*columns, weight.alias("__weight"), target.alias("__target"), key.alias("__key"), fixed.alias("__fixed"))
-    expected = scored.agg(F.sum(F.col("__target").cast("decimal(19,9)"))).first()[0] or 0
-    last = _kth(scored.select(F.col("__fixed").alias("key")), round(keep * float(expected)))
-    return scored.withColumn("__kept", F.col("__fixed") >= last if last is not None else F.lit(False))
+    scored = scored.select(*columns, weight.alias(weight_at), target.alias(target_at), key.alias(key_at), fixed.alias(fixed_at))
+    expected = scored.agg(F.sum(F.col(target_at).cast("decimal(19,9)"))).first()[0] or 0
+    last = _kth(scored.select(F.col(fixed_at).alias("key")), round(keep * float(expected)))
+    return scored.withColumn(kept_at, F.col(fixed_at) >= last if last is not None else F.lit(False)), names
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -215,8 +221,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **optio
     drawn as any other. Without labels of both target and another kind nothing is known of the difference: all stay. Columns
     that are neither id nor text are not read, whatever their names. An empty table gives an empty result.
     """
-    rows = judged(docs, labels, id_col, **options)
-    return rows.select(id_col, F.col("__weight").alias("log_weight"), F.col("__target").alias("target_probability"), F.col("__key").alias("sample_key"), F.col("__kept").alias("kept"))
+    rows, (weight, target, key, kept) = judged(docs, labels, id_col, **options)
+    return rows.select(id_col, F.col(weight).alias("log_weight"), F.col(target).alias("target_probability"), F.col(key).alias("sample_key"), F.col(kept).alias("kept"))
 
 
 def op9_quality(spark, sf_dir):
@@ -225,4 +231,5 @@ def op9_quality(spark, sf_dir):
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are drawn, with all their columns, whatever those are called. Nulls, empty texts, repeated rows and empty tables: see classify()."""
-    return judged(docs, table(spark, sf_dir, "labels"), keep_columns=docs.columns).where("__kept").select(*docs.columns)
+    rows, names = judged(docs, table(spark, sf_dir, "labels"), keep_columns=docs.columns)
+    return rows.where(F.col(names[-1])).select(*docs.columns)

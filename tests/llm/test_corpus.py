@@ -251,7 +251,7 @@ def test_pipeline(spark, sf):
 
 
 #: Columns whose names stages use themselves, and one of a type that can be neither compared nor hashed.
-CLASHES = {"n_lines": "7", "n_dropped": "8", "lines": "'l'", "h1": "1", "pos": "2", "kept_id": "3", "text_hash": "4", "component_id": "5", "taken": "6", "place": "'p'", "id": "9", "bucket": "'b'", "item": "null", "of_id": "10", "tags": "map('k', 1)"}
+CLASHES = {"n_lines": "7", "n_dropped": "8", "lines": "'l'", "h1": "1", "pos": "2", "kept_id": "3", "text_hash": "4", "component_id": "5", "taken": "6", "place": "'p'", "id": "9", "bucket": "'b'", "item": "null", "of_id": "10", "tags": "map('k', 1)", "__s": "11", "__fixed": "12", "__kept": "13", "Weight": "14", "KEPT": "15", "Hash": "16"}
 
 
 def stage_input(edges):
