@@ -34,8 +34,8 @@ from .words import texts_of
 
 #: Words of a first document that name one block; windows of a passage; phrases of an automaton; words of a share of a block's segments.
 BLOCK_WORDS, PASSAGE, AUTOMATON, SHARE = 2048, 1024, 50_000, 1 << 15
-#: Bytes that are hashed at a time, so that a long text needs no arrays of its length in bytes; rows of an Arrow batch.
-CHUNK, ROWS = 1 << 20, 1 << 18
+#: Bytes that are hashed at a time, so that a long text needs no arrays of its length in bytes; bytes of texts that are handled together.
+CHUNK, TOGETHER = 1 << 20, 1 << 22
 #: The id of rows without one: after all others.
 NO_ID = (1 << 63) - 1
 FACTOR = 0xD1342543DE82EF95
@@ -91,121 +91,141 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     return _mixed(found)
 
 
-def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the place of its anchor, and the hash of every run that can be one."""
+def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
+    """For each window the hash of its anchor: the least of its runs of half a window."""
     size = (window + 1) // 2
     found = runs(hashes, size)
-    if len(hashes) < window:
-        return np.empty(0, np.int64), found
-    within = np.lib.stride_tricks.sliding_window_view(found, window - size + 1)
-    return np.arange(len(within)) + within.argmin(axis=1), found
+    n = max(len(hashes) - window + 1, 0)
+    least = found[:n].copy()
+    for k in range(1, window - size + 1):
+        np.minimum(least, found[k : k + n], out=least)
+    return least
 
 
-def _rows(batches: Iterator[pa.RecordBatch], of, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """of: a row as a dict of Arrow values to a list of columns (numpy arrays of one length) or None; gives them back as batches of bounded size."""
-    held, n = [], 0
+class Piece:
+    """Some texts on end, so that few calls of numpy hash them all: words of all texts, and which windows lie in one text."""
 
-    def batch() -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+    def __init__(self, texts: list[bytes], window: int):
+        self.text = b"\n".join(texts)
+        self.starts, self.ends, self.hashes = words_at(self.text)
+        begins = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+        first = np.searchsorted(self.starts, begins)  # word at which each text begins
+        self.row = np.repeat(np.arange(len(texts)), np.diff([*first, len(self.starts)]))  # of each word
+        n = max(len(self.row) - window + 1, 0)
+        self.whole = self.row[:n] == self.row[window - 1 :]
+        self.place = np.arange(n) - first[self.row[:n]]  # of a window in its text
 
+    def cut(self, a: int, b: int) -> bytes:
+        """The text from word a up to word b."""
+        return self.text[self.starts[a] : self.ends[b - 1]]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[Piece, pa.RecordBatch]]:
+    """Rows of batches, as many together as have TOGETHER bytes of text."""
     for b in batches:
-        columns = [b.column(i) for i in range(b.num_columns)]
+        texts, size, begin = [], 0, 0
         for i, text in enumerate(texts_of(b["text"])):
-            if found := of(text or b"", {name: c[i] for name, c in zip(b.schema.names, columns, strict=True) if name != "text"}):
-                held.append(found)
-                n += len(found[0])
-            if n >= ROWS:
-                yield batch()
-                held, n = [], 0
-    if held:
-        yield batch()
+            texts.append(text or b"")
+            size += len(texts[-1])
+            if size >= TOGETHER:
+                yield Piece(texts, window), b.slice(begin, i + 1 - begin)
+                texts, size, begin = [], 0, i + 1
+        if texts:
+            yield Piece(texts, window), b.slice(begin)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns has another value than before; and the length."""
+    n = len(columns[0])
+    new = np.zeros(n + 1, bool)
+    new[[0, n]] = True
+    for c in columns:
+        new[1:-1] |= c[1:] != c[:-1]
+    return np.flatnonzero(new) if n else np.zeros(1, np.int64)
+
+
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch[name].to_numpy(zero_copy_only=False)
+
+
+def _batch(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
 def anchor_rows(rows: DataFrame, window: int) -> DataFrame:
-    """rows: id, text_hash, text. anchor, id, text_hash, place (of the first such), once for each anchor of a text."""
+    """rows: id, text_hash, text. anchor, id, text_hash, place (of a window that has it), once for each run of windows of one anchor."""
 
     def find(batches):
-        def of(text, row):
-            place, found = anchors(words_at(text)[2], window)
-            if not len(place):
-                return None
-            hashes, first = np.unique(found[np.unique(place)], return_index=True)
-            n = len(hashes)
-            return [hashes.view(np.int64), np.full(n, row["id"].as_py(), np.int64), np.full(n, row["text_hash"].as_py(), np.int64), np.unique(place)[first].astype(np.int64)]
-
-        yield from _rows(batches, of, ["anchor", "id", "text_hash", "place"])
+        for piece, b in _pieces(batches, window):
+            least = anchors(piece.hashes, window)
+            at = np.flatnonzero(piece.whole)
+            at = at[_changes(least[at], piece.row[at])[:-1]]
+            row = piece.row[at]
+            yield _batch(["anchor", "id", "text_hash", "place"], least[at].view(np.int64), _numbers(b, "id")[row], _numbers(b, "text_hash")[row], piece.place[at])
 
     return rows.mapInArrow(find, "anchor long, id long, text_hash long, place long")
 
 
+def _found(sought: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """keys: sorted. Where each of sought would be in keys, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, sought), max(len(keys) - 1, 0))
+    return at, keys[at] == sought if len(keys) else np.zeros(len(sought), bool)
+
+
 def segment_rows(rows: DataFrame, window: int) -> DataFrame:
-    """rows: id, text_hash, text, known (array of anchor, block). block, id, text_hash, start (words before), text of each segment."""
-    schema = pa.schema([("block", pa.int64()), ("id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("text", pa.binary())])
+    """rows: id, text_hash, text, known (array of anchor, block). block, id, text_hash, start (words before), text of each segment.
+
+    What a text of a piece knows holds for the others: a block is a matter of the anchor alone.
+    """
 
     def find(batches):
-        for b in batches:
-            out, size = [], 0
-            for text, known, i, h in zip(texts_of(b["text"]), b["known"], b["id"].to_pylist(), b["text_hash"].to_pylist(), strict=True):
-                starts, ends, hashes = words_at(text or b"")
-                place, found = anchors(hashes, window)
-                if not len(place):
-                    continue
-                anchor, block = (np.asarray(known.values.field(k)) for k in ("anchor", "block"))
-                order = np.argsort(anchor)
-                anchor, block = anchor[order], block[order]
-                mine = found.view(np.int64)[place]
-                at = np.minimum(np.searchsorted(anchor, mine), len(anchor) - 1)
-                has = anchor[at] == mine
-                of = np.where(has, block[at], 0)
-                new = np.ones(len(of) + 1, bool)
-                new[1:-1] = (of[1:] != of[:-1]) | (has[1:] != has[:-1])
-                edges = np.flatnonzero(new)
-                for p, q in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    if has[p]:
-                        piece = text[starts[p] : ends[q + window - 2]]
-                        out.append((int(of[p]), i, h, p, piece))
-                        size += len(piece)
-                if size >= CHUNK:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        for piece, b in _pieces(batches, window):
+            known = b["known"].flatten()
+            keys, first = np.unique(known.field(0).to_numpy(), return_index=True)
+            of = known.field(1).to_numpy()[first]
+            at, has = _found(anchors(piece.hashes, window).view(np.int64), keys)
+            has &= piece.whole
+            block = np.where(has, of[at], 0) if len(of) else np.zeros(len(at), np.int64)
+            edges = _changes(block, has, piece.row[: len(has)])
+            begin = edges[:-1][has[edges[:-1]]]
+            end = edges[1:][has[edges[:-1]]]
+            row = piece.row[begin]
+            texts = pa.array([piece.cut(p, q + window - 1) for p, q in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
+            yield _batch(["block", "id", "text_hash", "start", "text"], block[begin], _numbers(b, "id")[row], _numbers(b, "text_hash")[row], piece.place[begin], texts)
 
     return rows.mapInArrow(find, "block long, id long, text_hash long, start long, text binary")
 
 
 def window_rows(segments: DataFrame, window: int) -> DataFrame:
-    """block, phrase (the hash of a window), id, once for each window of a segment."""
+    """block, phrase (the hash of a window), id, for each window of a segment."""
 
     def find(batches):
-        def of(text, row):
-            found = np.unique(runs(words_at(text)[2], window))
-            n = len(found)
-            return [np.full(n, row["block"].as_py(), np.int64), found.view(np.int64), np.full(n, row["id"].as_py(), np.int64)]
-
-        yield from _rows(batches, of, ["block", "phrase", "id"])
+        for piece, b in _pieces(batches, window):
+            row = piece.row[: len(piece.whole)][piece.whole]
+            yield _batch(["block", "phrase", "id"], _numbers(b, "block")[row], runs(piece.hashes, window)[piece.whole].view(np.int64), _numbers(b, "id")[row])
 
     return segments.select("block", "id", "text").mapInArrow(find, "block long, phrase long, id long")
 
 
 def passage_rows(segments: DataFrame, window: int) -> DataFrame:
     """segments: block, id, start, text, phrases (those that are first in this document). block, id, start, n (windows), text of each passage."""
-    names = ["block", "id", "start", "n", "text"]
 
     def find(batches):
-        for b in batches:
-            out = []
-            for text, block, i, start, phrases in zip(texts_of(b["text"]), b["block"].to_pylist(), b["id"].to_pylist(), b["start"].to_pylist(), b["phrases"], strict=True):
-                starts, ends, hashes = words_at(text)
-                mine = np.isin(runs(hashes, window).view(np.int64), np.asarray(phrases.values))
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
-                for p, q in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    for a in range(p, q, PASSAGE):
-                        z = min(a + PASSAGE, q)
-                        out.append((block, i, start + a, z - a, text[starts[a] : ends[z + window - 2]]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [*[pa.int64()] * 4, pa.binary()], strict=True)], names)
+        for piece, b in _pieces(batches, window):
+            ids = _numbers(b, "id")
+            phrases = b["phrases"]
+            keys, at = np.unique(phrases.flatten().to_numpy(), return_index=True)
+            first = np.repeat(ids, phrases.value_lengths().to_numpy())[at]  # a phrase has one document that is its first
+            row = piece.row[: len(piece.whole)]
+            at, has = _found(runs(piece.hashes, window).view(np.int64), keys)
+            mine = has & piece.whole
+            mine[mine] = first[at[mine]] == ids[row[mine]]
+            edges = _changes(mine, row)
+            out = [(p, z) for x, q in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if mine[x] for p in range(x, q, PASSAGE) for z in [min(p + PASSAGE, q)]]
+            begin, end = np.array(out, np.int64).reshape(-1, 2).T
+            start = _numbers(b, "start")[row[begin]] + piece.place[begin]
+            texts = pa.array([piece.cut(p, z + window - 1) for p, z in out], pa.binary())
+            yield _batch(["block", "id", "start", "n", "text"], _numbers(b, "block")[row[begin]], ids[row[begin]], start, end - begin, texts)
 
     return segments.mapInArrow(find, "block long, id long, start long, n long, text binary")
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from orderloom.llm import substring_dedup as module
-from orderloom.llm.substring_dedup import NO_ID, Phrases, anchors, runs, substring_dedup, words_at
+from orderloom.llm.substring_dedup import NO_ID, Phrases, Piece, anchors, runs, substring_dedup, words_at
 
 from .conftest import EDGES
 
@@ -99,12 +99,24 @@ def test_equal_windows_have_equal_anchors():
     hashes = rng.integers(0, 1 << 63, 500).astype(np.uint64)
     twice = np.concatenate([hashes[100:200], hashes, hashes[50:120]])
     for window in (1, 2, 13):
-        place, found = anchors(twice, window)
+        size = (window + 1) // 2
+        found, short = anchors(twice, window), runs(twice, size)
+        assert found.tolist() == [min(short[k : k + window - size + 1].tolist()) for k in range(len(twice) - window + 1)]
         of = defaultdict(set)
-        for k, key in enumerate(runs(twice, window).tolist()):
-            assert k <= place[k] <= k + window - (window + 1) // 2
-            of[key].add((int(found[place[k]]), int(place[k]) - k))
+        for key, anchor in zip(runs(twice, window).tolist(), found.tolist(), strict=True):
+            of[key].add(anchor)
         assert all(len(v) == 1 for v in of.values())
+    assert len(anchors(hashes[:5], 13)) == 0
+
+
+def test_texts_of_a_piece_stay_apart():
+    texts = [b"a b c", b"", b" c d ", b"e", b"\t", b"a b c d"]
+    piece = Piece(texts, 2)
+    assert [piece.text[s:e] for s, e in zip(piece.starts, piece.ends, strict=True)] == b" ".join(texts).split()
+    assert piece.row.tolist() == [0, 0, 0, 2, 2, 3, 5, 5, 5, 5]
+    assert piece.whole.tolist() == [True, True, False, True, False, False, True, True, True]
+    assert piece.place[piece.whole].tolist() == [0, 1, 0, 0, 1, 2]
+    assert not len(Piece([b"", b""], 13).whole)
 
 
 def test_automaton_locates_every_occurrence():
