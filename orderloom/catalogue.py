@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import clients, compare, event_time, history, messages, outcomes, queues, records, texts
+from .plans import clients, compare, event_time, history, messages, outcomes, packs, queues, records, texts
 
 FLAGSHIP = "client_article_profile"
-MODULES = (history, compare, texts, queues, messages, event_time, records, clients, outcomes)
+MODULES = (history, compare, texts, queues, messages, event_time, records, clients, outcomes, packs)
 
 
 def queries() -> dict:
