@@ -88,9 +88,7 @@ def threshold_sweep(spark, sf_dir):
 
 
 def substitution_mining(spark, sf_dir):
-    t = _truth(spark, sf_dir).withColumn("l_partkey", F.col("l_partkey") % 40)
-    p = _predicted(spark, sf_dir).withColumn("l_partkey", F.col("l_partkey") % 40)
-    return evaluation.substitutions(t, p, "l_orderkey", "l_partkey")
+    return evaluation.substitutions(_truth(spark, sf_dir), _predicted(spark, sf_dir), "l_orderkey", "l_partkey")
 
 
 def topn_candidate_recall(spark, sf_dir):
@@ -147,7 +145,7 @@ x AS (SELECT unnest(['all', 'quantity ' || least(l_quantity // 10 * 10, 40), 'pa
 SELECT bucket, count(*) AS n_lines, count_if(correct) AS n_correct, round(count_if(correct) / count(*), 4) AS precision FROM x GROUP BY 1""",
     "threshold_sweep": f"""WITH {_T}, {_p()}, {_M}
 SELECT CAST(threshold AS INT) AS threshold, count(*) AS n_lines, count_if(correct) AS n_correct, round(count_if(correct) / count(*), 4) AS precision FROM m JOIN range(0, 51, 5) s(threshold) ON l_quantity >= threshold GROUP BY 1""",
-    "substitution_mining": f"""WITH {_T}, {_p()}, a AS (SELECT DISTINCT l_orderkey, l_partkey % 40 AS k FROM t), b AS (SELECT DISTINCT l_orderkey, l_partkey % 40 AS k FROM p),
+    "substitution_mining": f"""WITH {_T}, {_p()}, a AS (SELECT DISTINCT l_orderkey, l_partkey AS k FROM t), b AS (SELECT DISTINCT l_orderkey, l_partkey AS k FROM p),
 x AS (SELECT l_orderkey, k, 1 AS m FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT l_orderkey, k, 0 FROM (SELECT * FROM b EXCEPT SELECT * FROM a)),
 o AS (SELECT l_orderkey, min(k) FILTER (WHERE m = 0) AS extra, min(k) FILTER (WHERE m = 1) AS missing FROM x GROUP BY 1 HAVING count_if(m = 1) = 1 AND count_if(m = 0) = 1)
 SELECT extra, missing, count(*) AS support FROM o GROUP BY ALL HAVING count(*) >= 2""",
