@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import nested, retrieval
+from ..operators import nested, retrieval, synonyms
 from ..sources.tables import table
+from . import ratios
 
 #: Items of a catalogue; matches of a query; rounds in which every query gets one.
 QUOTA, MATCHES, ROUNDS = 50, 12, 3
@@ -72,7 +73,21 @@ def manifest_faults(spark, sf_dir):
     return report.select("doc_id", F.array_join("faults", " ").alias("faults"))
 
 
-QUERIES = {f.__name__: f for f in (authorised_catalogue, nested_code_labels, manifest_faults)}
+#: Synonyms of words of part names.
+GROUPS = {"ring": ["anneau", "bague"], "widget": ["gadget", "petit machin"], "red widget": ["machin rouge", "widget cerise"], "small ring": ["petite bague", "anneau fin"], "gear wheel": ["roue dentee"], "large plate": ["grande plaque", "plate geante"]}
+
+
+def part_search_variants(spark, sf_dir):
+    """What each distinct part name, as it is and misheard, becomes by declared synonyms, and the alias that confirms the part."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    first, last = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    heard = F.explode(F.array("p_name", F.concat_ws(" ", last, first), F.concat_ws(" ", F.lit("une"), first, F.concat(last, F.lit("s"))), F.concat_ws(" ", F.lit("une petite bague"), last))).alias("said")
+    rows = names.select("p_name", heard).distinct()
+    found = F.explode(synonyms.search_variants(F.col("said"), GROUPS)).alias("variant")
+    return rows.select("p_name", "said", F.coalesce(synonyms.confirmed_by(F.col("said"), F.col("p_name"), GROUPS), F.lit("")).alias("alias"), found)
+
+
+QUERIES = {f.__name__: f for f in (authorised_catalogue, nested_code_labels, manifest_faults, part_search_variants)}
 SQL = {
     "authorised_catalogue": """
 WITH p AS (SELECT p_partkey, p_brand, p_type, p_size, p_name || ' serie' || regexp_extract(p_brand, '[0-9]+') || 'x' || p_size AS label FROM part),
@@ -114,4 +129,26 @@ SELECT doc_id, array_to_string(list_sort(list_filter([
   CASE WHEN NOT ok THEN 'not_an_object' END, CASE WHEN ok AND contains(name, '/') THEN 'bad_name' END, CASE WHEN again THEN 'duplicate_name' END, CASE WHEN ok AND doc_id % 10 = 7 THEN 'bad_digest' END,
   CASE WHEN ok AND doc_id % 10 = 6 AND lang IS NOT NULL THEN 'unexpected:lang' END, CASE WHEN ok AND doc_id % 10 = 5 THEN 'unexpected:audit' END, CASE WHEN ok AND doc_id % 10 = 5 THEN 'forbidden:$.audit.items[0].Truth_rows' END,
   CASE WHEN ok AND doc_id % 20 = 8 THEN 'unexpected:ErpOrder' END, CASE WHEN ok AND doc_id % 20 = 8 THEN 'forbidden:$.ErpOrder' END], lambda x: x IS NOT NULL)), ' ') AS faults FROM f""",
+    "part_search_variants": f"""
+WITH raw(g, t) AS (VALUES ('ring', 'ring'), ('ring', 'anneau'), ('ring', 'bague'), ('widget', 'widget'), ('widget', 'gadget'), ('widget', 'petit machin'), ('red widget', 'red widget'), ('red widget', 'machin rouge'),
+  ('red widget', 'widget cerise'), ('small ring', 'small ring'), ('small ring', 'petite bague'), ('small ring', 'anneau fin'), ('gear wheel', 'gear wheel'), ('gear wheel', 'roue dentee'),
+  ('large plate', 'large plate'), ('large plate', 'grande plaque'), ('large plate', 'plate geante')),
+w AS (SELECT g, t, string_split(t, ' ') AS w FROM raw), pos AS (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM w),
+x AS (SELECT *, CASE WHEN length(w[k]) >= 5 AND suffix(w[k], 's') THEN left(w[k], length(w[k]) - 1) WHEN length(w[k]) >= 4 THEN w[k] || 's' END AS o FROM pos),
+f AS (SELECT g, t FROM raw UNION SELECT g, array_to_string(list_transform(w, lambda y, i: CASE WHEN i = k THEN o ELSE y END), ' ') FROM x WHERE o IS NOT NULL),
+n AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS w FROM part),
+s AS (SELECT DISTINCT p_name, unnest([p_name, w[-1] || ' ' || w[1], 'une ' || w[1] || ' ' || w[-1] || 's', 'une petite bague ' || w[-1]]) AS said FROM n),
+u AS (SELECT DISTINCT said, string_split(said, ' ') AS w FROM s),
+v AS (SELECT said, w[i] AS a, w[i + 1] AS b FROM (SELECT said, w, unnest(range(1, len(w))) AS i FROM u)),
+two AS (SELECT g, string_split(t, ' ')[1] AS c, string_split(t, ' ')[2] AS d FROM f WHERE contains(t, ' ')),
+p AS (SELECT DISTINCT v.a, v.b, c, d FROM v JOIN two ON v.a IN (c, d) OR v.b IN (c, d)),
+r AS (SELECT *, {ratios.indel('a', 'c')} AS ac, {ratios.indel('b', 'd')} AS bd, {ratios.indel('b', 'c')} AS bc, {ratios.indel('a', 'd')} AS ad FROM p),
+h AS (SELECT a, b, c, d, CASE WHEN ac + bd >= bc + ad THEN ac ELSE bc END AS x, CASE WHEN ac + bd >= bc + ad THEN bd ELSE ad END AS y FROM r),
+m AS (
+  SELECT said, g, t AS part FROM u JOIN f ON contains(' ' || said || ' ', ' ' || t || ' ')
+  UNION SELECT said, g, v.a || ' ' || v.b FROM v JOIN h ON v.a = h.a AND v.b = h.b JOIN two ON two.c = h.c AND two.d = h.d WHERE least(x, y) >= 85 AND (x + y) / 2 >= 92 AND (x < 99.9)::INT + (y < 99.9)::INT <= 1),
+z AS (SELECT said, said AS variant FROM u UNION SELECT said, replace(said, part, f.t) FROM m JOIN f ON m.g = f.g),
+best AS (SELECT said, variant FROM z QUALIFY row_number() OVER (PARTITION BY said ORDER BY length(variant) DESC, variant) <= 16),
+c AS (SELECT g, t FROM raw WHERE g <> t AND contains(g, ' ') AND contains(t, ' '))
+SELECT s.p_name, s.said, coalesce((SELECT min(c.t) FROM c WHERE contains(' ' || s.said || ' ', ' ' || c.t || ' ') AND list_sort(string_split(c.g, ' ')) = list_sort(string_split(s.p_name, ' '))), '') AS alias, variant FROM s JOIN best ON s.said = best.said""",
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import consolidation
+from ..operators import consolidation, resumable
 from ..sources.tables import table
+from ..streaming.jobs import shared_folder
 
 
 def consolidated_order_lines(spark, sf_dir):
@@ -49,7 +50,25 @@ def status_over_versions(spark, sf_dir):
     return consolidation.rising_status(o, "o_orderkey", "version", "known", "blocked", "changed", "accepted").select("o_orderkey", "version", "status")
 
 
-QUERIES = {f.__name__: f for f in (order_line_consolidation, order_line_reasons, status_over_versions)}
+def resumed_results(spark, sf_dir):
+    """Every order once through a long run that is taken up again: a first run had other payloads for some orders, the second computes those anew and keeps the rest."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("payload"))
+    key = F.col("o_orderkey")
+    stale = o.withColumn("payload", F.when(key % 3 == 0, "old").otherwise(F.col("payload")))
+    signed = lambda df: df.withColumn("digest", F.when(key % 31 == 1, "none").otherwise(F.sha2("payload", 256)))
+
+    def compute(todo):
+        made = todo.where(key % 50 != 7)
+        urgent = F.contains("payload", F.lit("URGENT"))
+        return made.select("o_orderkey", F.when(~urgent, F.reverse("payload")).alias("result"), F.when(urgent, "cannot wait").alias("error"))
+
+    path = shared_folder(spark, "resumable")
+    for inputs in (stale, o):
+        found = resumable.resumable(signed(inputs), "o_orderkey", "payload", "digest", "v1", path, compute)
+    return found
+
+
+QUERIES = {f.__name__: f for f in (order_line_consolidation, order_line_reasons, status_over_versions, resumed_results)}
 _P = """
 WITH r AS (
   SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_returnflag)::INT AS i, CASE WHEN l_suppkey % 19 <> 4 THEN p_brand END AS code, CASE WHEN l_suppkey % 7 <> 3 THEN l_quantity::DOUBLE END AS q,
@@ -77,4 +96,8 @@ SELECT o AS l_orderkey, array_to_string(r, ' ') AS reasons,
 WITH v AS (
   SELECT o_orderkey, v AS version, (o_orderstatus = 'F' AND v = 2) OR ((o_orderkey + v) % 2 = 0 AND o_custkey % 5 > 0 AND (o_orderkey + v) % 3 <> 0) AS up FROM orders, (VALUES (1), (2), (3)) AS x(v))
 SELECT o_orderkey, version, CASE WHEN bool_or(up) OVER (PARTITION BY o_orderkey ORDER BY version) THEN 'VALIDEE' ELSE 'PROBLEMATIQUE' END AS status FROM v""",
+    "resumed_results": """
+WITH o AS (SELECT o_orderkey, o_orderstatus || ' ' || o_orderpriority AS p, o_orderkey % 31 <> 1 AS ok, o_orderkey % 50 <> 7 AS out FROM orders)
+SELECT o_orderkey, CASE WHEN ok AND out AND NOT contains(p, 'URGENT') THEN reverse(p) END AS result,
+       CASE WHEN NOT ok THEN 'hash_transcription_incorrect' WHEN NOT out THEN 'aucune_sortie_du_moteur' WHEN contains(p, 'URGENT') THEN 'cannot wait' END AS error FROM o""",
 }
