@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import choices, clients, compare, event_time, history, lines, messages, outcomes, packs, queues, records, texts
+from .plans import choices, clients, compare, event_time, evidence, history, lines, messages, outcomes, packs, queues, records, texts
 
 FLAGSHIP = "client_article_profile"
-MODULES = (history, compare, texts, queues, messages, event_time, records, clients, outcomes, packs, choices, lines)
+MODULES = (history, compare, texts, queues, messages, event_time, records, clients, outcomes, packs, choices, lines, evidence)
 
 
 def queries() -> dict:
