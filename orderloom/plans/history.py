@@ -92,11 +92,11 @@ def volume_bonus(spark, sf_dir):
     """Parts of a type within 8 points of the best size: with two or more of them, 6 ln(1 + sold) on top."""
     sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n_sold"))
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size").join(sold, "p_partkey", "left").withColumn("n_sold", F.coalesce("n_sold", F.lit(0)))
-    w = Window.partitionBy("p_brand")
-    near = F.col("p_size") >= F.max("p_size").over(w) - 8
-    rows = rows.withColumn("near", near)
-    many = F.sum(F.col("near").cast("int")).over(w) >= 2
-    bonus = F.when(F.col("near") & many, F.bround(6 * F.log1p(F.col("n_sold")), 4)).otherwise(F.lit(0.0))
+    # sizes of a brand are few, so its best and how many come near are aggregates of counts; rows only join them
+    sizes = rows.groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
+    best = sizes.join(sizes.groupBy("p_brand").agg(F.max("p_size").alias("best")), "p_brand").where(F.col("p_size") >= F.col("best") - 8)
+    rows = rows.join(best.groupBy("p_brand", "best").agg(F.sum("n").alias("many")), "p_brand")
+    bonus = F.when((F.col("p_size") >= F.col("best") - 8) & (F.col("many") >= 2), F.bround(6 * F.log1p(F.col("n_sold")), 4)).otherwise(F.lit(0.0))
     return rows.select("p_partkey", (F.col("p_size") + bonus).alias("score"), bonus.alias("bonus"))
 
 

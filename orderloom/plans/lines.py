@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import consolidation, resumable
+from ..operators import consolidation, mentions, resumable
 from ..sources.tables import table
 from ..streaming.jobs import shared_folder
 
@@ -68,7 +68,19 @@ def resumed_results(spark, sf_dir):
     return found
 
 
-QUERIES = {f.__name__: f for f in (order_line_consolidation, order_line_reasons, status_over_versions, resumed_results)}
+def tidied_mentions(spark, sf_dir):
+    """Each order's lines as mentions of a call in which some are said twice, some again with a number, without repeats and rewordings. No SQL: a fold over lines that change; tests hold it against expected tables."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_suppkey").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    mention = lambda quantity: F.struct(F.col("p_name").alias("product"), quantity.alias("quantity"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("double").alias("multiple"), F.col("p_name").alias("said"), *[F.array().cast("array<string>").alias(c) for c in ("precisions", "exclusions", "reasons")])
+    counted, bare = mention(F.col("l_quantity").cast("double")), mention(F.lit(None).cast("double"))
+    said = F.when(F.col("l_suppkey") % 5 == 0, F.array(counted, counted)).when(F.col("l_suppkey") % 5 == 1, F.array(bare, counted)).otherwise(F.array(counted))
+    calls = li.groupBy("l_orderkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", said.alias("said")))), lambda x: x["said"])).alias("mentions"))
+    rows = calls.select("l_orderkey", F.posexplode(mentions.tidied(F.col("mentions"))).alias("position", "m"))
+    return rows.select("l_orderkey", "position", "m.product", "m.quantity", F.array_join("m.reasons", " ").alias("reasons"))
+
+
+QUERIES = {f.__name__: f for f in (order_line_consolidation, order_line_reasons, status_over_versions, resumed_results, tidied_mentions)}
 _P = """
 WITH r AS (
   SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_returnflag)::INT AS i, CASE WHEN l_suppkey % 19 <> 4 THEN p_brand END AS code, CASE WHEN l_suppkey % 7 <> 3 THEN l_quantity::DOUBLE END AS q,

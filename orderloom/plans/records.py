@@ -53,11 +53,13 @@ def merged_alternatives(spark, sf_dir):
 
 
 def first_of_repeated(spark, sf_dir):
-    """First events of a kind, for users that repeat two kinds or more; all events of the others."""
+    """First events of a kind that comes again, for users who once had a kind twice in a row and of whom two kinds or more come again; all events of the others."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
-    n = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count_if(F.col("n") > 20).alias("repeated"))
+    kinds = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count_if(F.col("n") >= 2).alias("again"))
+    in_row = e.withColumn("row", F.col("event_type") == F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).groupBy("user_id").agg(F.max("row").alias("row"))
+    storm = kinds.join(in_row, "user_id").select("user_id", ((F.col("again") >= 2) & F.coalesce("row", F.lit(False))).alias("storm"))
     first = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    return e.withColumn("place", first).join(n, "user_id").where("repeated < 2 or place = 1").select("event_id")
+    return e.withColumn("place", first).join(storm, "user_id").where("not storm or place = 1").select("event_id")
 
 
 def alias_union(spark, sf_dir):
@@ -145,14 +147,17 @@ def best_candidates(spark, sf_dir):
     """The best part of each brand by a weighted score, among those that are plausible beside the best: where that has 40 or more, 20 at least."""
     sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.max("l_shipdate").alias("last"))
     p = table(spark, sf_dir, "part").join(sold, "p_partkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    w = Window.partitionBy("p_brand")
-    p = p.withColumn("top", F.max("p_size").over(w)).where("top < 40 or p_size >= 20")
+    # a brand's bests are aggregates joined back, and its first two a rank that is limited before rows move: no task holds a brand
+    p = p.join(p.groupBy("p_brand").agg(F.max("p_size").alias("top")), "p_brand").where("top < 40 or p_size >= 20")
     score = F.bround(0.05 * F.col("p_retailprice") / 100 + F.col("p_size") + 1.5 * F.log1p("n"), 4)
-    p = p.withColumn("score", score).withColumn("latest", F.max("last").over(w))
-    total = F.col("score") + F.when((F.col("last") == F.col("latest")) & (F.col("score") >= F.max("score").over(w) - 12), 30).otherwise(0)
-    p = p.withColumn("total", total)
-    ranked = p.withColumn("place", F.row_number().over(w.orderBy(F.col("total").desc(), "p_partkey"))).withColumn("margin", F.bround(F.col("total") - F.coalesce(F.lead("total").over(w.orderBy(F.col("total").desc(), "p_partkey")), F.lit(0.0)), 4))
-    return ranked.where("place = 1").select("p_brand", "p_partkey", "total", "margin")
+    p = p.withColumn("score", score)
+    p = p.join(p.groupBy("p_brand").agg(F.max("last").alias("latest"), F.max("score").alias("best")), "p_brand")
+    p = p.withColumn("total", F.col("score") + F.when((F.col("last") == F.col("latest")) & (F.col("score") >= F.col("best") - 12), 30).otherwise(0))
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.col("total").desc(), "p_partkey"))
+    two = p.withColumn("place", place).where("place <= 2")
+    first = F.min_by("p_partkey", "place").alias("p_partkey")
+    two = two.groupBy("p_brand").agg(first, F.max("total").alias("total"), F.max(F.when(F.col("place") == 2, F.col("total"))).alias("second"))
+    return two.select("p_brand", "p_partkey", "total", F.bround(F.col("total") - F.coalesce("second", F.lit(0.0)), 4).alias("margin"))
 
 
 def phrase_miner(spark, sf_dir):
@@ -200,8 +205,9 @@ SELECT s_suppkey, c_custkey, score FROM q WHERE p = 1 AND score >= 0.6 AND (s IS
 WITH e AS (SELECT event_id, event_type, lead(event_type) OVER w AS nt, lead(event_id) OVER w AS ni, lag(event_type) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT event_id, CASE WHEN event_type = 'view' AND nt = 'click' THEN ni END AS alternative FROM e WHERE NOT (event_type = 'click' AND coalesce(b, '') = 'view')""",
     "first_of_repeated": """
-WITH n AS (SELECT user_id, count_if(n > 20) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1),
-e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) SELECT event_id FROM e JOIN n USING (user_id) WHERE r < 2 OR p = 1""",
+WITH n AS (SELECT user_id, count_if(n >= 2) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1),
+e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p, event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS same FROM events),
+s AS (SELECT user_id, coalesce(bool_or(same), false) AS s FROM e GROUP BY 1) SELECT event_id FROM e JOIN n USING (user_id) JOIN s USING (user_id) WHERE NOT (r >= 2 AND s) OR p = 1""",
     "alias_union": """
 WITH x AS (SELECT c_nationkey AS k, c_mktsegment AS v FROM customer UNION SELECT s_nationkey, 'S' || s_suppkey % 3 FROM supplier) SELECT n_nationkey, coalesce(string_agg(v, ',' ORDER BY v), '') AS aliases FROM nation LEFT JOIN x ON n_nationkey = k GROUP BY 1""",
     "merged_histories": "SELECT upper(trim(CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE ' ' || c_mktsegment END)) AS segment, count(*) AS n_customers, max(c_custkey) AS last_customer FROM customer GROUP BY 1",

@@ -145,7 +145,7 @@ def rule_bonus_match(spark, sf_dir):
 
 
 def spoken_codes(spark, sf_dir):
-    """Digit groups of 5 to 10 in documents, with the part key that they are once leading zeros are off: codes heard in text."""
+    """Digit groups of 5 to 10 in documents, as heard and without leading zeros."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([0-9]{5,10})"), 1))).alias("code"))
     return d.select("doc_id", "code", numbers.bare_code(F.col("code")).alias("bare"))
 

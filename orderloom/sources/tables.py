@@ -55,11 +55,11 @@ def pick_column(columns: list[str], aliases: list[str]) -> str:
 def json_map_entries(df: DataFrame, keys: list[str], column: str, confirmed: str | None = None) -> DataFrame:
     """keys, key, value: the entries of a JSON object, a row for each value; an entry is one value or a list of them.
 
-    With `confirmed`, entries are objects with a `value` (or a list of them) of which only those with that member true count. What is no JSON object, null or
+    With `confirmed`, entries are objects with a `value` (or a list of them) of which only those with that member true count (the boolean, not a text). What is no JSON object, null or
     empty has no rows.
     """
     entries = df.select(*keys, F.explode(F.from_json(column, "map<string,string>")).alias("key", "value"))
     if confirmed:
-        entries = entries.where(F.get_json_object("value", f"$.{confirmed}") == "true").withColumn("value", F.get_json_object("value", "$.value"))
+        entries = entries.where(F.from_json("value", f"`{confirmed}` boolean")[confirmed]).withColumn("value", F.get_json_object("value", "$.value"))
     many = F.when(F.startswith(F.trim("value"), F.lit("[")), F.from_json("value", "array<string>"))
     return entries.withColumn("value", F.explode(F.coalesce(many, F.array("value")))).where("trim(value) <> ''")

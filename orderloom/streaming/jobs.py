@@ -52,7 +52,8 @@ def windowed_counts(stream: DataFrame, at: str, width: str, late: str, keys: lis
 
 
 class Outcomes:
-    """What became of items, by key: a folder for each run of a batch, named by batch and retry, of which the last to name a key holds.
+    """What became of items, by key: a folder for each run of a batch, named by batch and retry, of which the last to name a key holds; of rows of one key in one folder
+    that whose columns, read from the left, are the greatest.
 
     Once `compact_at` folders have come together, what holds is written as one folder (its name ends in c), and those before it go.
     """
@@ -82,7 +83,7 @@ class Outcomes:
         parts = [self.spark.read.parquet(f"{self.path}/{n}").withColumn("__run", F.lit(n)) for n in names]
         every = reduce(DataFrame.unionByName, parts)
         values = F.struct(*[c for c in every.columns if c not in (self.key, "__run")])
-        return every.groupBy(self.key).agg(F.max_by(values, "__run").alias("v")).select(self.key, "v.*")
+        return every.groupBy(self.key).agg(F.max_by(values, F.struct("__run", values)).alias("v")).select(self.key, "v.*")
 
     def write(self, outcome: DataFrame, name: str) -> None:
         outcome.write.mode("overwrite").parquet(f"{self.path}/{name}")
