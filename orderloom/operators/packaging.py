@@ -22,8 +22,8 @@ TUBS = ("BOITE", "PI", "PCE", "BAC")
 CARTONS = ("CAR", "COL")
 #: Names of packages in a sentence and the order units that each can mean.
 CONTAINERS = {
-    "cartons?": ("CAR", "COL"), "colis": ("CAR", "COL"), "caisses?": ("CAR", "COL"), "packs?": ("PACK",), "sacs?": ("SAC",), "boites?": ("BOITE",), "bidons?": ("BID",), "seaux?": ("SEAU",), "poches?": ("POC",),
-    "barquettes?": ("BARQ",), "pieces?": ("PI", "PCE"), "unites?": ("PI", "PCE"), "bouteilles?": ("PI", "PCE"), "pots?": ("PI", "PCE"), "paquets?": ("PAQUET", "PACK", "SACH"),
+    "packs?": ("PACK",), "cartons?": ("CAR", "COL"), "caisses?": ("CAR", "COL"), "colis": ("CAR", "COL"), "boites?": ("BOITE",), "bidons?": ("BID", "PI", "PCE"), "seaux?": ("SEAU",), "sacs?": ("SAC",), "sachets?": ("SACH", "POC"),
+    "poches?": ("POC",), "barquettes?": ("BARQ",), "pieces?": ("PI", "PCE"), "unites?": ("PI", "PCE"), "bouteilles?": ("PI", "PCE"), "pots?": ("PI", "PCE"), "paquets?": ("PAQUET", "PACK", "SACH"),
 }
 _NUMBER, _UNIT = r"([0-9]+(?:\.[0-9]+)?)", "(kg|k|g|l|cl|ml)"
 MANY = rf"([0-9]+)\s*x\s*{_NUMBER}\s*{_UNIT}\b"
@@ -199,9 +199,7 @@ def resolved_quantity(quantity: Column, unit: Column, pack: Column, label: Colum
 def explicit_containers(said: Column, order_unit: Column) -> Column:
     """The number right before the first package in a sentence of digits that can mean the order unit; null for none, 0 or over 10,000."""
     fits = F.lit(None).cast("string")
-    for units in sorted(set(CONTAINERS.values())):
-        fits = F.when(F.upper(F.trim(order_unit)).isin(*units), "|".join(n for n, u in CONTAINERS.items() if u == units)).otherwise(fits)
-    for unit in ("PACK",):  # named by two kinds of words
+    for unit in sorted({u for units in CONTAINERS.values() for u in units}):
         fits = F.when(F.upper(F.trim(order_unit)) == unit, "|".join(n for n, u in CONTAINERS.items() if unit in u)).otherwise(fits)
     pattern = F.concat(F.lit(r"(?<![0-9])([0-9]+(?:[.,][0-9]+)?)\s+(?:"), fits, F.lit(r")\b"))
     value = lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import clients, families
+from ..operators import clients, families, winners
 from ..sources.tables import table
 from . import ratios
 from .clients import client_names
@@ -89,3 +89,34 @@ SELECT mention, code, 125.0::DOUBLE AS bonus, reason FROM o WHERE reason IS NOT
 SELECT c_custkey, kind, CASE WHEN kind IN ('name', 'city') OR kind = 'alias and city' AND (c_custkey % 3 = 0 OR c_custkey % 7 = 0 OR c_custkey % 2 = 0) OR kind = 'name and product' AND c_custkey % 3 = 0 THEN 'CLIENT' ELSE 'PRODUIT' END AS role
 FROM customer, (VALUES ('name'), ('product'), ('city'), ('city, counted'), ('alias and city'), ('alias and product'), ('name and product')) AS k(kind)""",
 }
+
+
+def candidate_winners(spark, sf_dir):
+    """For every brand the part that wins among its parts, by what they sold and evidence from their keys."""
+    sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("sales"), F.count_if(F.col("l_shipdate") >= "2000-01-01").alias("recent_sales"), F.max(F.datediff("l_shipdate", F.lit("1995-01-01").cast("date"))).alias("day"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice").join(sold, "p_partkey", "left")
+    key = F.col("p_partkey")
+    none = F.lit(None).cast("double")
+    rows = p.select(
+        F.concat_ws("/", "p_brand", "p_type").alias("mention"), key.alias("code"), F.when(key % 13 == 0, F.concat("p_name", F.lit(" ***"))).otherwise(F.col("p_name")).alias("label"), F.when(key % 4 > 0, F.col("p_retailprice")).alias("price"),
+        (key % 9 == 0).alias("known"), (key % 17 > 0).alias("compatible"), F.when(key % 3 == 0, "cadencier_client").when(key % 3 == 1, "catalogue_reappro").alias("source"), F.when(key % 19 == 0, "referentiel_articles").alias("article_source"),
+        F.when(key % 5 == 0, F.array(F.lit("preference_dimension_x"))).alias("reasons"), (F.col("p_size") + 40).cast("double").alias("text_score"), (key % 60).cast("double").alias("pack_score"), none.alias("global_score"),
+        none.alias("attribute_score"), (key % 7).cast("double").alias("physical_score"), none.alias("history_bonus"), none.alias("fallback_bonus"), none.alias("volume_bonus"), "sales", "recent_sales", (F.col("day") + 738_000).alias("last_day"),
+    )
+    return winners.winners(rows, "mention", "code")
+
+
+QUERIES["candidate_winners"] = candidate_winners
+SQL["candidate_winners"] = """
+WITH s AS (SELECT l_partkey AS k, count(*) AS sales, count_if(l_shipdate >= TIMESTAMP '2000-01-01') AS recent, max(date_diff('day', DATE '1995-01-01', l_shipdate::DATE)) + 738000 AS day FROM lineitem GROUP BY 1),
+c AS (
+  SELECT p_brand || '/' || p_type AS mention, p_partkey AS code, CASE WHEN p_partkey % 4 > 0 THEN p_retailprice::DOUBLE END AS price, (p_size + 40)::DOUBLE AS t, (p_partkey % 60)::DOUBLE AS pack, coalesce(sales, 0) AS sales, coalesce(recent, 0) AS recent, day,
+         p_partkey % 5 = 0 AS asked FROM part LEFT JOIN s ON k = p_partkey WHERE p_partkey % 13 > 0 AND p_partkey % 17 > 0),
+o AS (
+  SELECT * FROM c WHERE price > 0 OR code % 9 = 0 OR code % 19 = 0 OR (t >= 80 AND day >= 739700 AND sales > 0) OR (t >= 50 AND pack >= 55 AND day >= 739760 AND sales >= 5 AND asked)),
+x AS (
+  SELECT *, round_even(t + code % 7 + CASE code % 3 WHEN 0 THEN 80.0::DOUBLE WHEN 1 THEN -30.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN asked THEN 0.7::DOUBLE ELSE 0.05::DOUBLE END * pack + 1.5::DOUBLE * ln(1 + sales) + 3.5::DOUBLE * ln(1 + recent) + 0.06::DOUBLE * greatest(0, coalesce(day, 0) - 739700)
+    + CASE WHEN code % 19 = 0 THEN 4 ELSE 0 END, 4) AS score FROM o),
+r AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second, count(*) OVER (PARTITION BY mention) AS n FROM x
+  WINDOW w AS (PARTITION BY mention ORDER BY score DESC, pack DESC, sales DESC, recent DESC, coalesce(day, -1) DESC, coalesce(price, 999999), code))
+SELECT mention, code, score, round_even(score - coalesce(second, 0), 4) AS margin, n FROM r WHERE place = 1"""

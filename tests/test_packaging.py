@@ -100,7 +100,7 @@ def test_names_of_the_rows_stay(spark):
 
 
 def test_explicit_containers(spark):
-    rows = [("3 cartons et 2 packs", "COL", 3.0), ("3 cartons et 2 packs", "PACK", 2.0), ("2,5 boîtes", "boite", 2.5), ("2 paquets", "PACK", 2.0), ("5 pots", "PI", 5.0), ("12 sacs", "BOITE", None), ("0 sac puis 4 sacs", "SAC", 4.0), ("20000 sacs", "SAC", None), ("x", None, None), (None, "SAC", None), ("3 colisages", "COL", None)]
+    rows = [("3 cartons et 2 packs", "COL", 3.0), ("3 cartons et 2 packs", "PACK", 2.0), ("2,5 boîtes", "boite", 2.5), ("2 paquets", "PACK", 2.0), ("5 pots", "PI", 5.0), ("12 sacs", "BOITE", None), ("0 sac puis 4 sacs", "SAC", 4.0), ("20000 sacs", "SAC", None), ("x", None, None), (None, "SAC", None), ("3 colisages", "COL", None), ("2 bidons", "PI", 2.0), ("4 sachets et 3 poches", "POC", 4.0), ("4 poches", "SACH", None)]
     df = spark.createDataFrame(rows, "said string, unit string, want double")
     assert all(r.got == r.want for r in df.withColumn("got", explicit_containers(F.col("said"), F.col("unit"))).collect())
     assert {u for units in CONTAINERS.values() for u in units} >= {"CAR", "COL", "PACK", "SACH", "PCE"}
