@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import consolidation, mentions, resumable
+from ..operators import consolidation, mentions, resumable, validation
 from ..sources.tables import table
 from ..streaming.jobs import shared_folder
 
@@ -113,3 +113,46 @@ WITH o AS (SELECT o_orderkey, o_orderstatus || ' ' || o_orderpriority AS p, o_or
 SELECT o_orderkey, CASE WHEN ok AND out AND NOT contains(p, 'URGENT') THEN reverse(p) END AS result,
        CASE WHEN NOT ok THEN 'hash_transcription_incorrect' WHEN NOT out THEN 'aucune_sortie_du_moteur' WHEN contains(p, 'URGENT') THEN 'cannot wait' END AS error FROM o""",
 }
+
+
+def model_line_checks(spark, sf_dir):
+    """Lines that a model might propose for each order, some of them wrong, checked against parts and the order's transcript; accepted ones joined by part."""
+    key = F.col("l_partkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag").join(p, key == F.col("p_partkey"))
+    q, s = F.col("l_quantity").cast("int").cast("string"), F.col("l_suppkey")
+    sentence = F.when(s % 3 == 0, F.concat(q, F.lit(" cartons de "), "p_name")).when(s % 3 == 1, F.concat(q, F.lit(" litres "), "p_name")).otherwise(F.concat_ws(" ", "p_name", q))
+    rows = li.withColumn("sentence", F.when(s % 11 == 0, F.concat("p_name", F.lit(" "), q, F.lit(" %"))).otherwise(sentence))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag"))
+    lines = rows.select(
+        "l_orderkey", place.alias("index"), F.when(s % 13 > 0, key.cast("string")).otherwise("none").alias("code"), "sentence", "l_returnflag",
+        F.when(s % 17 == 0, 0.0).otherwise(F.col("l_quantity").cast("double")).alias("quantity"), F.when(s % 5 > 0, "pi").alias("unit"), (0.3 + F.col("l_discount")).alias("confidence"),
+    )
+    # what is returned was not said in the call
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("l_returnflag") != "R", F.struct("index", "sentence")))), lambda x: x["sentence"]), ", ")
+    transcripts = lines.groupBy("l_orderkey").agg(said.alias("transcript"))
+    catalogue = p.select(F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("label"), F.when(F.col("p_partkey") % 3 == 0, "CAR").when(F.col("p_partkey") % 3 == 1, "BID").alias("unit"), F.when(F.col("p_size") % 2 == 0, 2.0).alias("capacity"), F.lit("L").alias("capacity_unit"), (F.col("p_size") % 8 == 0).alias("variable_weight"))
+    checked = validation.checked_lines(lines.withColumn("source", F.col("sentence")).drop("sentence", "l_returnflag"), catalogue, transcripts, "l_orderkey")
+    return checked.select("l_orderkey", "index", "code", "quantity", "unit", "quantity_resolution", F.array_join("reasons", " ").alias("reasons"))
+
+
+QUERIES["model_line_checks"] = model_line_checks
+SQL["model_line_checks"] = """
+WITH r AS (
+  SELECT l.*, p_name, p_size, l_quantity::INT::VARCHAR AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag)::INT AS i FROM lineitem l JOIN part ON l_partkey = p_partkey),
+s AS (
+  SELECT *, CASE WHEN l_suppkey % 11 = 0 THEN p_name || ' ' || q || ' %' WHEN l_suppkey % 3 = 0 THEN q || ' cartons de ' || p_name WHEN l_suppkey % 3 = 1 THEN q || ' litres ' || p_name ELSE p_name || ' ' || q END AS t,
+         l_suppkey % 13 > 0 AS known, CASE l_partkey % 3 WHEN 0 THEN 'CAR' WHEN 1 THEN 'BID' END AS u FROM r),
+n AS (SELECT *, trim(regexp_replace(t, '[^a-z0-9]+', ' ', 'g')) AS c FROM s),
+f AS (SELECT l_orderkey, coalesce(string_agg(c, ' ' ORDER BY i) FILTER (WHERE l_returnflag <> 'R'), '') AS full_text FROM n GROUP BY 1),
+w AS (SELECT n.*, full_text, list_filter(string_split(c, ' '), lambda x: length(x) >= 3) AS w FROM n JOIN f USING (l_orderkey)),
+v AS (
+  SELECT *, CASE WHEN known AND u = 'CAR' AND l_suppkey % 11 > 0 AND l_suppkey % 3 = 0 AND l_quantity > 0 THEN l_quantity::INT::DOUBLE END AS counted,
+         CASE WHEN known AND p_size % 2 = 0 AND p_size % 8 > 0 AND l_suppkey % 11 > 0 AND l_suppkey % 3 = 1 AND l_quantity > 0 THEN l_quantity::INT / 2.0::DOUBLE END AS held,
+         c <> '' AND full_text <> '' AND (contains(full_text, c) OR len(w) > 0 AND len(list_filter(w, lambda x: list_contains(string_split(full_text, ' '), x))) / len(w) >= 0.6) AS proof FROM w)
+SELECT l_orderkey, i AS index, CASE WHEN known THEN l_partkey::VARCHAR ELSE 'none' END AS code, coalesce(counted, held, CASE WHEN l_suppkey % 17 = 0 THEN 0.0::DOUBLE ELSE l_quantity END) AS quantity,
+       coalesce(CASE WHEN known THEN u END, CASE WHEN l_suppkey % 5 > 0 THEN 'PI' ELSE '' END) AS unit,
+       CASE WHEN counted IS NOT NULL THEN 'nombre_explicite' WHEN held IS NOT NULL THEN 'mesure_l_divisee_par_capacite_officielle' ELSE 'llama_quantity' END AS quantity_resolution,
+       concat_ws(' ', CASE WHEN NOT known THEN 'code_hors_catalogue_autorise' END, CASE WHEN l_suppkey % 17 = 0 OR l_quantity <= 0 THEN 'quantite_invalide' END, CASE WHEN l_suppkey % 11 = 0 THEN 'quantite_non_prouvee_transcription' END,
+         CASE WHEN (u IS NULL OR NOT known) AND l_suppkey % 5 = 0 THEN 'unite_incompatible_catalogue' END, CASE WHEN 0.3::DOUBLE + l_discount < 0.35::DOUBLE THEN 'confiance_insuffisante' END, CASE WHEN NOT proof THEN 'preuve_absente_transcription' END) AS reasons
+FROM v"""
