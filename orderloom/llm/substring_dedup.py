@@ -75,7 +75,7 @@ def words_at(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         s, e = np.maximum(starts[i:j] - a, 0), np.minimum(ends[i:j] - a, len(part))
         whole = (sums[e] - sums[s]) * down[s]
         if j > i and starts[i] < a:
-            whole[0] *= np.uint64(pow(FACTOR, a - int(starts[i]), 1 << 64))
+            whole[:1] *= np.uint64(pow(FACTOR, a - int(starts[i]), 1 << 64))
         found[i:j] += whole
     return starts, ends, _mixed(found ^ (ends - starts).astype(np.uint64) * _A)
 
