@@ -41,7 +41,7 @@ def _core(word: str) -> bool:
 
 
 def heard_in(said: Column, label: Column) -> Column:
-    """struct(anchors, words, scores) of arrays of words: the said words that are anchors of the label; the others that tell something, each with the best score that a word of the label has. Nulls say nothing."""
+    """struct(anchors, scores) of two arrays of words: the said words that are anchors of the label, and for each said word the best score that a word of the label has. Nulls say nothing."""
 
     @F.arrow_udf("struct<anchors: array<string>, scores: array<double>>")
     def of(a: pa.Array, b: pa.Array) -> pa.Array:

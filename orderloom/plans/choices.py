@@ -57,7 +57,7 @@ def nested_code_labels(spark, sf_dir):
 
 
 #: Keys of a manifest's row; parts that no key may have.
-ALLOWED, FORBIDDEN = ("audio", "transcription_sha256"), ("truth", "erp", "order_number", "article", "product", "client_code", "commande_reelle", "copilote")
+ALLOWED, FORBIDDEN = ("audio", "transcription_sha256"), ("truth", "erp", "order_number", "article", "product", "client_code", "commande_reelle")
 
 
 def manifest_faults(spark, sf_dir):

@@ -62,7 +62,7 @@ _GROUPS = "[['red', 'blue'], ['hot', 'cold'], ['new', 'old'], ['large', 'small']
 SQL = {
     "secondary_candidates": f"""{_C},
 b AS (SELECT *, greatest(30, max(score) FILTER (WHERE len(anchors) > 0) OVER (PARTITION BY mention) - 35) AS least FROM r)
-SELECT mention, count(*) AS n, count_if(len(anchors) > 0) AS anchored, count_if(len(anchors) > 0 AND score >= least) AS eligible, min(score) FILTER (WHERE len(anchors) > 0 AND score >= least) AS least FROM b GROUP BY 1""",
+SELECT mention, count(*) AS n, count_if(len(anchors) > 0)::BIGINT AS anchored, count_if(len(anchors) > 0 AND score >= least)::BIGINT AS eligible, min(score) FILTER (WHERE len(anchors) > 0 AND score >= least) AS least FROM b GROUP BY 1""",
     # of the vocabulary's words only equal ones are alike by 90; scores of words of three letters are Indel ratios
     "family_bonuses": f"""{_C},
 v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part),
