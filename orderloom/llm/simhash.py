@@ -159,7 +159,8 @@ def op2_simhash(spark, sf_dir, shingle_words: int = 3, radius: int = 3):
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest id, with all its columns, whatever those are called.
 
-    Fingerprints are no gate here: at that similarity they differ in 39 of 256 bits, and no covering of so many keeps bits enough to tell texts apart.
+    Candidates are texts whose SimHash fingerprints of 2048 bits agree in a table and are near; the sets of shingles confirm them. At that similarity 15 in 100
+    bits differ, so a covering of all masks, as in near_links(), would keep no bits enough to tell texts apart: tables sample bits instead (see shingles).
     Null and empty texts and those without words are copies of each other: one stays. Of rows that repeat, or repeat an id and a text, one
     stays; of a group's rows that share its smallest id, the one with the smallest text hash. A null id comes after all others. Columns of
     any type are carried along. An empty table gives an empty result.

@@ -9,6 +9,7 @@ import xxhash
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
+_MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _h64 = xxhash.xxh64_intdigest
 
 
@@ -53,6 +54,19 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * bit_counts(hashes) > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def wide_majority(hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """A SimHash fingerprint of 64 bits for each salt, as bytes: each hash is mixed anew for each salt, then as in majority()."""
+    counts = np.zeros((8, len(salts), 8), np.int64)
+    for at in range(0, len(hashes), 255):
+        x = hashes[None, at : at + 255] + salts[:, None]
+        x = (x ^ (x >> np.uint64(30))) * _MIX
+        x = (x ^ (x >> np.uint64(27))) * _MIX2
+        x ^= x >> np.uint64(31)
+        for bit in range(8):
+            counts[bit] += ((x >> np.uint64(bit)) & _LANES).sum(axis=1).view(np.uint8).reshape(-1, 8)
+    return np.packbits(2 * counts.transpose(1, 2, 0) > len(hashes), axis=2, bitorder="little").reshape(-1)
+
+
 def signed(values) -> np.ndarray:
     """Unsigned 64-bit integers as Spark's longs."""
     return np.asarray(values, np.uint64).view(np.int64)
