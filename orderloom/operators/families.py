@@ -55,6 +55,14 @@ def heard_in(said: Column, label: Column) -> Column:
     return of(said, label)
 
 
+def _with_heard(candidates: DataFrame, said: str, label: str) -> DataFrame:
+    """candidates with h, what heard_in() says of their texts. Texts repeat from candidate to candidate: each pair is scored once."""
+    a, b = F.col(said).alias("__said"), F.col(label).alias("__label")
+    pairs = candidates.select(a, b).distinct()
+    scored = pairs.select("__said", "__label", F.explode(F.array(heard_in(F.col("__said"), F.col("__label")))).alias("h"))  # found once, not again for what it is joined to
+    return candidates.join(scored, F.col(said).eqNullSafe(F.col("__said")) & F.col(label).eqNullSafe(F.col("__label"))).drop("__said", "__label")
+
+
 def secondary_signals(candidates: DataFrame, mention: str, said: str, label: str, score: str) -> DataFrame:
     """candidates with anchors and eligible: whether signals beside the text may count for a candidate.
 
@@ -62,7 +70,7 @@ def secondary_signals(candidates: DataFrame, mention: str, said: str, label: str
     at least. Null scores are 0.
     """
     text_score = F.coalesce(F.col(score).cast("double"), F.lit(0.0))
-    rows = candidates.withColumn("anchors", heard_in(F.col(said), F.col(label))["anchors"])
+    rows = _with_heard(candidates, said, label).withColumn("anchors", F.col("h.anchors")).drop("h")
     has = F.size("anchors") > 0
     best = F.max(F.when(has, text_score)).over(Window.partitionBy(mention))
     return rows.withColumn("eligible", F.coalesce(has & (text_score >= F.greatest(F.lit(FLOOR), best - BELOW)), F.lit(False)))
