@@ -93,29 +93,33 @@ def fallback_bonuses(candidates: DataFrame, mention: str, code: str, said: str,
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     rows = candidates.select(
         mention, code, F.col(said).alias("said"), F.col(label).alias("label"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score"), flag(in_history).alias("own"), flag(fallback).alias("other"),
-        F.col(source).alias("source"), flag(conflict).alias("conflict"), heard_in(F.col(said), F.col(label)).alias("h"),
+        F.col(source).alias("source"), flag(conflict).alias("conflict"),
     )
-    rows = rows.where((F.size("h.anchors") > 0) & (F.col("own") | F.col("other")))
+    # what a family tells goes by labels, of which a mention has far fewer than candidates
+    own = F.when(F.col("own"), F.col("score"))
+    labels = rows.where(F.col("own") | F.col("other")).groupBy(mention, "said", "label").agg(F.max(own).alias("best"), F.max("own").alias("own"), F.max("other").alias("other"), F.max(F.col("own") & ~F.col("conflict")).alias("sound"))
+    labels = _with_heard(labels, "said", "label").where(F.size("h.anchors") > 0)
     wanted = requested(F.col("said"), groups)
-    rows = rows.withColumn("asked", F.size(wanted) > 0).withColumn("all", F.forall(wanted, lambda x: F.arrays_overlap(x, F.col("label"))))
+    labels = labels.withColumn("asked", F.size(wanted) > 0).withColumn("all", F.forall(wanted, lambda x: F.arrays_overlap(x, F.col("label"))))
     telling = F.filter(F.arrays_zip(F.col("said").alias("word"), F.col("h.scores").alias("score")), lambda x: (F.length(x["word"]) >= 3) & ~x["word"].isin(*sorted(NOT_CORE)))
-    rows = rows.withColumn("words", telling)
+    labels = labels.withColumn("words", telling)
     rest = F.filter("words", lambda x: ~F.array_contains(F.col("h.anchors"), x["word"]))
-    rows = rows.withColumn("rest", rest)
+    labels = labels.withColumn("rest", rest)
 
-    by_anchor = rows.withColumn("anchor", F.explode("h.anchors"))
-    own = F.when(F.col("own"), F.col("score"))
-    best = by_anchor.groupBy(mention, "anchor").agg(F.max(own).alias("best"), F.max(F.col("own") & ~F.col("conflict") & F.col("all")).alias("served"))
+    by_anchor = labels.withColumn("anchor", F.explode("h.anchors"))
+    best = by_anchor.groupBy(mention, "anchor").agg(F.max("best").alias("best"), F.max(F.col("sound") & F.col("all")).alias("served"))
     words = by_anchor.select(mention, "anchor", "own", F.explode("words").alias("w"))
     read = words.groupBy(mention, "anchor", F.col("w.word").alias("word")).agg(F.max(F.when(F.col("own"), F.col("w.score"))).alias("own_read"), F.max("w.score").alias("read"))
 
-    asking = rows.where("other").select(mention, code, "score", "source", "asked", "all", F.explode("h.anchors").alias("anchor"), F.when(F.size("rest") == 1, F.get("rest", F.lit(0))).alias("left"))
+    asking = labels.where("other").select(mention, "said", "label", "asked", "all", F.explode("h.anchors").alias("anchor"), F.when(F.size("rest") == 1, F.get("rest", F.lit(0))).alias("left"))
     asking = asking.withColumn("word", F.col("left.word")).join(best, [mention, "anchor"]).join(read, [mention, "anchor", "word"], "left")
-    each = asking.groupBy(mention, code, "score", "source", "asked", "all", "left").agg(F.max("best").alias("best"), F.max("served").alias("served"), F.max("own_read").alias("own_read"), F.max("read").alias("read"))
-    by_attribute = F.col("asked") & F.col("all") & ~F.col("served") & (F.col("score") >= F.col("best") - CLOSE)
+    each = asking.groupBy(mention, "said", "label", "asked", "all", "left").agg(F.max("best").alias("best"), F.max("served").alias("served"), F.max("own_read").alias("own_read"), F.max("read").alias("read"))
     sound = F.bround("left.score", 2)
     by_sound = (F.length("left.word") == 3) & (F.col("read") < UNREAD) & (sound >= VARIANT) & (sound >= F.bround("own_read", 2) + AHEAD)
+    each = each.select(F.col(mention).alias("__mention"), F.col("said").alias("__said"), F.col("label").alias("__label"), F.when(F.col("asked") & F.col("all") & ~F.col("served"), F.col("best") - CLOSE).alias("from"), F.coalesce(by_sound & F.col("best").isNotNull(), F.lit(False)).alias("by_sound"))
+    each = each.where(F.col("from").isNotNull() | F.col("by_sound"))
+    same = F.col(mention).eqNullSafe(F.col("__mention")) & F.col("said").eqNullSafe(F.col("__said")) & F.col("label").eqNullSafe(F.col("__label"))
     kind = F.when(F.col("source") == "catalogue_global", BY_SOUND.format("catalogue")).otherwise(BY_SOUND.format("reappro"))
-    reason = F.when(F.col("best").isNotNull() & by_attribute, BY_ATTRIBUTE).when(F.col("best").isNotNull() & by_sound, kind)
-    found = each.withColumn("reason", reason).where("reason is not null")
+    reason = F.when(F.col("score") >= F.col("from"), BY_ATTRIBUTE).when(F.col("by_sound"), kind)
+    found = rows.where("other").join(each, same).withColumn("reason", reason).where("reason is not null")
     return found.groupBy(mention, code).agg(F.min("reason").alias("reason")).select(mention, code, F.lit(BONUS).alias("bonus"), "reason")
